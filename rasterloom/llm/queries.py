@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_classes
+from .span_dedup import span_dedup
 from .toxicity import toxicity
 
 
@@ -25,8 +26,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the sentences of spans that an earlier place has."""
+    return span_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_span_dedup": op6_span_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
