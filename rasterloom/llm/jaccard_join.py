@@ -314,3 +314,14 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, i
     rows = materialize(rows.select("doc_id", "n_shingles", "component"), "class-rows")
     names = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs``, all their columns, of which no other row of the class has a smaller ``doc_id``.
+
+    Rows with a null ``doc_id`` stay only in classes without any other id. Among rows that repeat
+    one ``doc_id``, those in one class are left to exact deduplication and all stay.
+    """
+    classes = similar_classes(docs, width=width, similarity=similarity)
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")

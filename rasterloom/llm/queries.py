@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_classes
+from .packing import best_fit_packing
 from .span_dedup import span_dedup
 from .toxicity import toxicity
 
@@ -31,8 +32,14 @@ def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into sequences of 512, 1024 or 2048 positions."""
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_span_dedup": op6_span_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
