@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify_language
 from .jaccard_join import similar_classes
 from .packing import best_fit_packing
+from .sentencepiece_codec import piece_digests
 from .span_dedup import span_dedup
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 
@@ -37,7 +41,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` encoded to pieces and decoded again."""
+    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE token counts of ``documents``."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents`` by compression."""
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_token_counts": op3_token_counts,
+    "op9_language_id": op9_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_span_dedup": op6_span_dedup,
