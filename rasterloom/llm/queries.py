@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import identify_language
 from .jaccard_join import similar_classes
+from .multi_index import nearest_neighbours
 from .packing import best_fit_packing
 from .sentencepiece_codec import piece_digests
 from .span_dedup import span_dedup
@@ -56,6 +57,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth of ``embeddings``."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_token_counts": op3_token_counts,
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_span_dedup": op6_span_dedup,
+    "op7_multi_index": op7_multi_index,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
