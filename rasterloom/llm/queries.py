@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .hmm_score import hmm_scores
 from .language_id import identify_language
 from .jaccard_join import similar_classes
 from .multi_index import nearest_neighbours
@@ -62,8 +63,14 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden-Markov log10 probabilities of ``documents``."""
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_hmm_score": op2_hmm_score,
     "op3_token_counts": op3_token_counts,
     "op9_language_id": op9_language_id,
     "op4_exact_dedup": op4_exact_dedup,
