@@ -1,0 +1 @@
+"""Nothing of the engine is unbounded: tiles, pixels and metadata are batches, so there is no streaming operator."""
