@@ -175,8 +175,9 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Among rows that repeat one ``doc_id`` and one text, one is returned.
     """
-    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(normalised(docs["text"]), 256)
-    own = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (sha == stay["__sha"]), "inner")
-    one = Window.partitionBy("__id", "__sha").orderBy(F.desc(F.char_length(F.coalesce(docs["text"], F.lit("")))))
-    return own.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n", "__id", "__sha")
+    stay = exact_dedup(docs, **options).filter("kept").select("doc_id", "text_sha256").distinct()
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("id"), F.sha2(normalised(docs["text"]), 256).alias("sha"), F.char_length(text).alias("chars"))
+    own = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["sha"] == stay["text_sha256"]), "left_semi")
+    one = Window.partitionBy("id", "sha").orderBy(F.desc("chars"))
+    return own.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")

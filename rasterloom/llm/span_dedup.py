@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -168,24 +169,24 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batch with the key of its text as another column."""
+    """Rows (row, doc_id, text) with the key of their text."""
     for batch in batches:
         keys = [_text_key(_raw(t)) for t in columns(batch, "text")[0].to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "__key"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "text_key"])
 
 
-def _cleaned(long_sentence: int, more: bool):
+def _cleaned(long_sentence: int):
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The text without the sentences in ``__ranges``; with ``more``, what was done as well."""
+        """(row, text, n_sentences, n_removed, removed_bytes): the text without the sentences in ``ranges``."""
         for batch in batches:
-            texts, ranges = columns(batch, "text", "__ranges")
+            rows, texts, ranges = columns(batch, "row", "text", "ranges")
             out, counts, removed, lost = [], [], [], []
-            for text, spans_ in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            for text, found in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
                 raw = _raw(text)
-                starts = sentences(raw, long_sentence)[0] if raw and (more or spans_) else []
-                cut = list(zip(starts, [*starts[1:], len(raw or b"")], strict=True))
+                starts = sentences(raw, long_sentence)[0] if raw else []
+                cut = list(pairwise([*starts, len(raw or b"")]))
                 gone = np.zeros(len(cut), bool)
-                for r in spans_ or []:
+                for r in found or []:
                     gone[r["a"] : r["b"]] = True
                 if gone.any():
                     text = b"".join(raw[a:b] for (a, b), g in zip(cut, gone, strict=True) if not g).decode("utf-8", "surrogatepass")
@@ -193,11 +194,8 @@ def _cleaned(long_sentence: int, more: bool):
                 counts.append(len(cut))
                 removed.append(int(gone.sum()))
                 lost.append(sum(b - a for (a, b), g in zip(cut, gone, strict=True) if g))
-            named = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__ranges"}
-            named["text"] = pa.array(out, pa.string())
-            if more:
-                named |= {"n_sentences": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed_bytes": pa.array(lost, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(named.values()), list(named))
+            numbers = [pa.array(x, pa.int64()) for x in (counts, removed, lost)]
+            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string()), *numbers], ["row", "text", "n_sentences", "n_removed", "removed_bytes"])
 
     return cleaned
 
@@ -208,27 +206,31 @@ def repeated_ranges(docs: DataFrame, *, min_sentences: int = 2, min_words: int =
     found = own.mapInArrow(_find(long_sentence, min_sentences, min_words), _SPANS)
     placed = found.repartition("key1").withColumn("at_id", F.coalesce("doc_id", F.lit(_NO_ID))).sortWithinPartitions("key1", "key2", "known", "at_id", "text_key", "a")
     later = placed.mapInArrow(_later, "doc_id long, text_key long, a int, b int")
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("__ranges"))
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
-def _plus(schema: T.StructType, *names: str) -> T.StructType:
-    return T.StructType([*schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+def _apply(docs: DataFrame, long_sentence: int, **options) -> DataFrame:
+    """(row, text, n_sentences, n_removed, removed_bytes); ``row`` is the whole row as it was.
 
-
-def _apply(docs: DataFrame, long_sentence: int, more: bool, **options) -> DataFrame:
-    ranges = materialize(repeated_ranges(docs, long_sentence=long_sentence, **options), "repeats").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), "__ranges")
-    keyed = docs.mapInArrow(_with_key, _plus(docs.schema, "__key"))
-    joined = keyed.join(ranges, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left").drop("__id", "__text_key", "__key")
-    schema = _plus(docs.schema, *(("n_sentences", "n_removed", "removed_bytes") if more else ()))
-    return joined.mapInArrow(_cleaned(long_sentence, more), schema)
+    Rows are kept together as one value, so that no column of theirs can clash with one of ours.
+    """
+    ranges = materialize(repeated_ranges(docs, long_sentence=long_sentence, **options), "repeats")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    kind = rows.schema["row"]
+    keyed = rows.mapInArrow(_with_key, T.StructType([*rows.schema.fields, T.StructField("text_key", T.LongType())]))
+    joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["doc_id"]) & (keyed["text_key"] == ranges["text_key"]), "left").select("row", "text", "ranges")
+    numbers = [T.StructField(n, T.LongType()) for n in ("n_sentences", "n_removed", "removed_bytes")]
+    return joined.mapInArrow(_cleaned(long_sentence), T.StructType([kind, T.StructField("text", T.StringType()), *numbers]))
 
 
 def span_dedup(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, long_sentence: int = 24) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the cleaned text, n_sentences, n_removed, removed_bytes."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _apply(own, long_sentence, True, min_sentences=min_sentences, min_words=min_words)
+    found = _apply(own, long_sentence, min_sentences=min_sentences, min_words=min_words)
+    return found.select("row.doc_id", "text", "n_sentences", "n_removed", "removed_bytes")
 
 
 def remove_repeats(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, long_sentence: int = 24) -> DataFrame:
     """The rows of ``docs``, all their columns, with repeated sentences removed from ``text``."""
-    return _apply(docs, long_sentence, False, min_sentences=min_sentences, min_words=min_words)
+    found = _apply(docs, long_sentence, min_sentences=min_sentences, min_words=min_words)
+    return found.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
