@@ -10,7 +10,8 @@ documents with p pieces each and that many in common share one of their first ``
 in any order of all pieces. The order used puts pieces with rare and many bits first, so that
 empty pieces and pieces of a common passage are hardly ever used; any order gives the same
 result. A document whose possible larger partners reach the next band is entered there too.
-The sketch is kept sparsely: its odd positions, ``2**32`` to a piece.
+The sketch has ``2**64`` bits and is kept sparsely; a piece's signature is the XOR of its
+positions' hashes.
 
 Verification. Pieces that several documents share make buckets. A first round verifies each
 document against one bucket leader only, and equal sets are one class from the start, which
@@ -27,6 +28,7 @@ documents. Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import columns, flat_list, materialize, mix
 from .components import components
-from .shingles import WordHashes, shingle_set, words_of
+from .shingles import WordHashes, shingle_runs, shingle_set, words_of
 
-_SLOTS = 1 << 18
-_BLOCK = 1024
+_SLOT_BITS = 22
+_SLOTS = 1 << _SLOT_BITS
+_SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
+_BLOCK = 512
 _EMPTY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -69,20 +73,11 @@ def _pieces(shingles: np.ndarray, band: int, heavy: np.ndarray, limit: Threshold
     most = limit.difference(2 * high) + 1
     p = most + most // 2 + 1
     take = limit.difference(size + min(high, limit.partner(size))) + 1
-    piece = ((shingles >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-    at = (piece << np.uint64(32)) | (shingles & np.uint64(0xFFFFFFFF))
-    weight = heavy[(shingles >> np.uint64(46)).astype(np.int64)]
-    order = np.argsort(at, kind="stable")
-    at, weight = at[order], weight[order]
-    if (at[1:] == at[:-1]).any():  # a bit flipped twice is clear again
-        at, first, times = np.unique(at, return_index=True, return_counts=True)
-        odd = times % 2 == 1
-        at, weight = at[odd], weight[first][odd]
-    piece = (at >> np.uint64(32)).astype(np.int64)
+    piece = (((shingles >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64)  # rises: shingles are sorted
     starts = np.flatnonzero(np.diff(piece, prepend=-1))
-    bits = np.diff(np.append(starts, len(at)))
-    value = mix(np.bitwise_xor.reduceat(mix(at), starts) + np.uint64(band)) if len(at) else np.zeros(0, np.uint64)
-    rare = np.minimum.reduceat(weight, starts) if len(at) else np.zeros(0, np.uint8)
+    bits = np.diff(np.append(starts, size))
+    value = mix(np.bitwise_xor.reduceat(mix(shingles), starts) + np.uint64(band))
+    rare = np.minimum.reduceat(heavy[(shingles >> _SLOT_SHIFT).astype(np.int64)], starts)
     rank = np.lexsort((value, -bits, rare))[:take]
     out = value[rank]
     if len(out) < take:  # all filled pieces are in; the empty ones follow
@@ -104,11 +99,11 @@ def _heavy_slots(width: int):
         for batch in batches:
             parts = []
             for text in batch.column(0).to_pylist():
-                parts.append(shingle_set(words_of(text), hashes, width) >> np.uint64(46))
+                parts.append(shingle_runs(words_of(text), hashes, width) >> _SLOT_SHIFT)
                 hashes.trim()
             if parts:
                 total += np.bincount(np.concatenate(parts).astype(np.int64), minlength=_SLOTS)
-        at = np.flatnonzero(total > 4 * total.mean() + 8)
+        at = np.flatnonzero(total > 4 * total.mean() + 2)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
     return count
@@ -149,33 +144,53 @@ def _sketch(width: int, heavy: np.ndarray, limit: Threshold):
     return sketch
 
 
+_SHARED = "piece long, uid long, n int, leader long, leader_n int, members long"
+
+
+def _shared_batch(piece, uid, n, leader, leader_n, members) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+    values = (pa.array(v, t) if v is not None else pa.nulls(len(piece), t) for v, t in zip((piece, uid, n, leader, leader_n, members), kinds, strict=True))
+    return pa.RecordBatch.from_arrays(list(values), [f.split()[0] for f in _SHARED.split(", ")])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (piece, uid, n), sorted, whose piece occurs again, each with its piece's first row."""
-    names = ["piece", "uid", "n", "leader", "leader_n"]
+    """From rows (piece, uid, n), sorted: the buckets, which are the pieces with several rows.
+
+    A bucket gives its rows, each with the bucket's first row as its leader, and at its end one
+    row without uid that has the number of rows in ``n`` and a digest of them in ``members``. Rows
+    are passed on as they come, so a bucket may be of any size.
+    """
     tail = leader = None  # the last row, not yet emitted; the first row of its run
+    digest, count = np.uint64(0), 0  # of the run's rows before the tail
     for batch in batches:
         piece, uid, n = (x.to_numpy() for x in columns(batch, "piece", "uid", "n"))
         if not len(piece):
             continue
-        if tail is not None:
+        if tail is None:
+            leader = piece[0], uid[0], n[0]
+        else:
             piece, uid, n = (np.concatenate([[t], x]) for t, x in zip(tail, (piece, uid, n), strict=True))
         new = np.ones(len(piece), bool)
         new[1:] = piece[1:] != piece[:-1]
-        carried = leader is not None and leader[0] == piece[0]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(piece)), 0))
+        starts = np.flatnonzero(new)
+        first = np.repeat(starts, np.diff(np.append(starts, len(piece))))
         lead, lead_n = uid[first], n[first]
-        if carried:
-            run = first == 0
-            lead, lead_n = np.where(run, leader[1], lead), np.where(run, leader[2], lead_n)
-        several = ~new
-        several[:-1] |= ~new[1:]
-        if carried and leader[1] != uid[0]:
-            several[0] = True
-        keep = several[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep], t) for x, t in zip((piece, uid, n, lead, lead_n), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
+        lead[first == 0], lead_n[first == 0] = leader[1], leader[2]
+        hashed = mix(uid.view(np.uint64))
+        digests, counts = np.bitwise_xor.reduceat(hashed, starts), np.diff(np.append(starts, len(piece)))
+        digests[0] ^= digest
+        counts[0] += count
+        several = np.repeat(counts > 1, np.diff(np.append(starts, len(piece))))[:-1]
+        yield _shared_batch(*(x[:-1][several] for x in (piece, uid, n, lead, lead_n)), None)
+        done = np.flatnonzero(counts[:-1] > 1)
+        yield _shared_batch(piece[starts[done]], None, np.minimum(counts[done], 1 << 30), lead[starts[done]], None, digests[done].view(np.int64))
         tail, leader = (piece[-1], uid[-1], n[-1]), (piece[-1], lead[-1], lead_n[-1])
-    if tail is not None and leader[1] != tail[1]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*tail, *leader[1:]), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
+        digest, count = digests[-1] ^ hashed[-1], int(counts[-1]) - 1
+    if tail is not None and count:
+        one = [np.array([x]) for x in (*tail, *leader[1:])]
+        yield _shared_batch(*one, None)
+        digest ^= mix(one[1].view(np.uint64))[0]
+        yield _shared_batch(one[0], None, [min(count + 1, 1 << 30)], one[3], None, np.array([digest]).view(np.int64))
 
 
 def _sets(width: int):
@@ -226,7 +241,7 @@ def _links(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, l
     wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     keyed = materialize(sketched.join(wanted, "uid", "left_semi").select("uid", F.col("doc_id").alias("__id"), "set_key"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(keyed, texts["doc_id"].eqNullSafe(keyed["__id"])).select("uid", "set_key", "text")
+    found = texts.join(keyed.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(keyed["__id"])).select("uid", "set_key", "text")
     sets = materialize(found.mapInArrow(_sets(width), "uid long, shingles binary"), "sets")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
     hubs = degree.join(sets, degree["a"] == sets["uid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
@@ -235,43 +250,57 @@ def _links(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, l
     return dealt.mapInArrow(_verify(limit), "a long, b long")
 
 
-def _fold(raw: list[bytes], bits: int) -> np.ndarray:
-    out = np.zeros((len(raw), bits // 64), np.uint64)
-    for i, x in enumerate(raw):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, bits // 64), axis=0)
-    return out
+def _narrowed(sketch: int, bits: int, to: int) -> int:
+    """A sketch as a whole number, folded by XOR to fewer bits."""
+    while bits > to:
+        bits //= 2
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def _near_in_run(limit: Threshold, same: bool, rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Pairs of a run's (n, uid, component, block, sketch) from different components, near enough by sketch."""
+    rows.sort()
+    sizes = [r[0] for r in rows]
+    sketches = [(int.from_bytes(r[4], "little"), 8 * len(r[4])) for r in rows]
+    most, over, under = limit.partner, limit.den - limit.num, limit.den + limit.num
+    for k, (n, uid, component, block, _) in enumerate(rows):
+        own, bits = sketches[k]
+        for m in range(k + 1, bisect_right(sizes, most(n), k + 1)):
+            n2, uid2, component2, block2, _ = rows[m]
+            if component2 != component and (same or block2 != block):
+                other, bits2 = sketches[m]
+                if bits2 > bits:
+                    other = _narrowed(other, bits2, bits)
+                if (own ^ other).bit_count() * under <= (n + n2) * over:
+                    yield (uid, uid2) if uid < uid2 else (uid2, uid)
 
 
 def _near(limit: Threshold):
-    def near(group: pa.Table) -> pa.Table:
-        """Pairs of a block (or of two) from different components whose sketches are near enough."""
-        uid, comp, n, block = (group.column(c).to_numpy() for c in ("uid", "component", "n", "block"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        raw = group.column("folded").to_pylist()
-        bits = np.array([8 * len(x) for x in raw])
-        left, right = [], []
-        order = np.argsort(n, kind="stable")
-        uid, comp, n, block, bits = (x[order] for x in (uid, comp, n, block, bits))
-        raw = [raw[k] for k in order]
-        views: dict[int, np.ndarray] = {}
-        for least in np.unique(bits):  # compared at the narrower of the two sketches
-            views[int(least)] = _fold([raw[k] if bits[k] >= least else bytes(int(least) // 8) for k in range(len(raw))], int(least))
-        for k in range(len(uid)):
-            end = int(np.searchsorted(n, limit.partner(int(n[k])), side="right"))
-            other = np.arange(k + 1, end)
-            other = other[(comp[other] != comp[k]) & ((i == j) | (block[other] != block[k]))]
-            if len(other):
-                view = views[int(bits[k])]
-                apart = np.bitwise_count(view[other] ^ view[k]).sum(axis=1)
-                other = other[apart <= (n[other].astype(np.int64) + int(n[k])) * (limit.den - limit.num) // (limit.den + limit.num)]
-                left += [uid[k]] * len(other)
-                right += uid[other].tolist()
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by (piece, i, j): the near pairs of each such block, once a batch."""
+        run, key = [], None
+        for batch in batches:
+            found = set()
+            names = ("piece", "i", "j", "n", "uid", "component", "block", "folded")
+            for piece, i, j, *row in zip(*(x.to_pylist() for x in columns(batch, *names)), strict=True):
+                if (piece, i, j) != key:
+                    if len(run) > 1:
+                        found.update(_near_in_run(limit, key[1] == key[2], run))
+                    run, key = [], (piece, i, j)
+                run.append(tuple(row))
+            yield _pairs(found)
+        if len(run) > 1:
+            yield _pairs(set(_near_in_run(limit, key[1] == key[2], run)))
 
     return near
 
 
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -289,22 +318,26 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, i
     copies = materialize(sketched.select("uid", "set_key").join(same, "set_key").filter("uid <> b").select(F.col("uid").alias("a"), "b"), "copies")
 
     entered = sketched.select(F.explode("pieces").alias("piece"), "uid", F.col("n_shingles").alias("n")).repartition("piece").sortWithinPartitions("piece", "uid")
-    shared = materialize(entered.mapInArrow(_shared, "piece long, uid long, n int, leader long, leader_n int"), "buckets")
+    buckets = materialize(entered.mapInArrow(_shared, _SHARED), "buckets")
 
+    shared = buckets.filter("uid IS NOT NULL").drop("members")
     fits = limit.den * F.least("n", "leader_n") >= limit.num * F.greatest("n", "leader_n")
     led = shared.filter((F.col("uid") != F.col("leader")) & fits).groupBy("uid", "leader").agg(F.count(F.lit(1)).alias("times"))
     first = materialize(led.groupBy("uid").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("uid").alias("b")), "first-pairs")
     edges = materialize(_links(docs, sketched, first, width, limit).union(copies), "links")
     classes = materialize(components(edges), "classes")
 
-    placed = shared.select("piece", "uid", "n").join(classes, shared["uid"] == classes["node"], "left").select("piece", "uid", "n", F.coalesce("component", "uid").alias("component"))
-    mixed = placed.groupBy("piece").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo <> hi")
+    # Buckets with the same members are one; a bucket of one component has nothing left to verify.
+    whole = buckets.filter("uid IS NULL").groupBy("members", "n", "leader").agg(F.min("piece").alias("piece")).select("piece")
+    placed = shared.select("piece", "uid", "n").join(whole, "piece", "left_semi").join(classes, F.col("uid") == F.col("node"), "left").select("piece", "uid", "n", F.coalesce("component", "uid").alias("component"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("piece").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
     open_rows = placed.join(mixed.select("piece", F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks")), "piece")
     open_rows = materialize(open_rows.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")), "open-buckets")
     if not open_rows.isEmpty():
         folded = sketched.select("uid", "folded").filter("folded IS NOT NULL")
         spread = open_rows.join(folded, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("piece", "uid", "n", "component", "block", "folded", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        more = spread.groupBy("piece", "i", "j").applyInArrow(_near(limit), "a long, b long").distinct()
+        more = spread.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j").mapInArrow(_near(limit), "a long, b long").distinct()
         more = materialize(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
             edges = edges.union(materialize(_links(docs, sketched, more, width, limit), "links"))

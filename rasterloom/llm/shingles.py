@@ -27,8 +27,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``width`` words; a shorter text is one run."""
+def shingle_runs(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``width`` words, one for each place; a shorter text is one run."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -38,4 +38,9 @@ def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarra
     for j in range(1, run):
         acc *= _STEP
         acc += h[j : n - run + 1 + j]
-    return np.unique(mix(acc))
+    return mix(acc)
+
+
+def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's runs, sorted."""
+    return np.unique(shingle_runs(words, hashes, width))
