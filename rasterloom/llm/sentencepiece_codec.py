@@ -3,13 +3,17 @@
 Text is normalised as the model family does (a space becomes U+2581, one is put in front) and
 cut before each run of U+2581. The vocabulary has no piece with a U+2581 after another
 character (checked when a model is loaded), so no merge crosses a cut and segments are encoded
-by themselves. A segment starts as its characters; an agenda of adjacent symbol pairs, ordered
-by score and then from the left, gives the next merge until no pair is a piece. Characters
-outside the vocabulary become their UTF-8 bytes' pieces. Segments come again and again, so a
-worker keeps a bounded cache of their ids and of what the ids decode to.
-
-Every Arrow batch is checked against the sentencepiece library: the ids of every whole text,
-and what they decode to. A difference is an error, never a silent substitution.
+by themselves; so are a segment's runs of word and other characters where no piece holds the two
+characters at their border. A run starts as its characters; an agenda of adjacent symbol pairs,
+ordered by score and then from the left, gives the next merge until no pair is a piece.
+Characters outside the vocabulary become their UTF-8 bytes' pieces. Segments come again and
+again, so a worker keeps a bounded cache of their ids. The runs that a batch of texts lacks are
+merged together: those of one length are rows of a matrix of symbols, and of another with the
+rank of each pair, which is their agendas; a step merges the first best pair of every row.
+
+Every Arrow batch is checked against the sentencepiece library: each segment that was encoded
+for it, and its first whole text, both ways. A difference is an error, never a silent
+substitution. ``PieceCodec.check`` compares any whole texts.
 
 Edge cases: null and empty texts have begin and end ids alone and decode to the empty text.
 Repeated rows are encoded each; null ``doc_id`` stays null; extra columns are ignored.
@@ -23,21 +27,24 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caches import TwoGenerations
 from .common import columns
 
 MARK = "▁"
+_RUN = re.compile(r"\w+|\W+")
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHED = 150_000
+_CACHED = 300_000
 _SHORT = 48
-_NEVER = float("-inf")
+_ROWS_AT_ONCE = 20_000
+_TEXT_AT_ONCE = 8 << 20
+_NEVER = 1 << 40
 _ROWS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,28 +58,31 @@ class PieceCodec:
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(size)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.scores = [lib.get_score(i) for i in range(size)]
-        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
         self.byte_ids = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
-        self.surfaces = [p.replace(MARK, " ") for p in self.pieces]
-        self.special = {i for i in range(size) if special[i]}
-        self.silent = {i for i in range(size) if lib.is_control(i)}
-        self.begin, self.end = lib.bos_id(), lib.eos_id()
+        # What each piece adds to the decoded text, in UTF-8; nothing for control pieces.
+        self.raw = [b"" if lib.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        for byte, i in enumerate(self.byte_ids):
+            self.raw[i] = bytes([byte])
+        self._begin, self._end = array("I", [lib.bos_id()]).tobytes(), array("I", [lib.eos_id()]).tobytes()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces that cross word boundaries")
         if not all(map(lib.is_byte, self.byte_ids)):
             raise ValueError("the vocabulary has no byte pieces")
-        self.segments = TwoGenerations(self._segment, _CACHED)
+        self.borders = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        pairs = {(self.ids[p[:k]], self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
+        rank = {s: r for r, s in enumerate(sorted({self.scores[i] for i in pairs.values()}, reverse=True))}
+        keys = np.array([a * size + b for a, b in pairs] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ids = np.array(list(pairs.values()) or [0], np.int64)[order]
+        self.pair_ranks = np.array([rank[self.scores[i]] for i in self.pair_ids.tolist()], np.int64) if pairs else np.array([_NEVER])
+        self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the segments before, until there are enough new ones
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda.
-
-        A short segment's agenda is a plain list of its pairs' scores, read by ``max``, whose first
-        place is the leftmost; a longer one's is a heap of pairs, some of them out of date.
-        """
-        symbols = self._merge_short(segment) if len(segment) <= _SHORT else self._merge_long(segment)
+        """Ids of one segment; its agenda is a heap of pairs, some of them out of date."""
         ids, out = self.ids, []
-        for symbol in symbols:
+        for symbol in self._merged(segment):
             found = ids.get(symbol)
             if found is not None:
                 out.append(found)
@@ -80,25 +90,7 @@ class PieceCodec:
                 out += [self.byte_ids[b] for b in symbol.encode("utf-8")]
         return out
 
-    def _merge_short(self, segment: str) -> list[str]:
-        score = self.score_of.get
-        symbols = list(segment)
-        agenda = [score(a + b, _NEVER) for a, b in pairwise(segment)]
-        while agenda:
-            best = max(agenda)
-            if best == _NEVER:
-                break
-            i = agenda.index(best)
-            both = symbols[i] + symbols[i + 1]
-            symbols[i : i + 2] = [both]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = score(symbols[i - 1] + both, _NEVER)
-            if i < len(agenda):
-                agenda[i] = score(both + symbols[i + 1], _NEVER)
-        return symbols
-
-    def _merge_long(self, segment: str) -> list[str]:
+    def _merged(self, segment: str) -> list[str]:
         ids, scores = self.ids, self.scores
         symbols: list[str] = list(segment)
         n = len(symbols)
@@ -126,61 +118,126 @@ class PieceCodec:
                         heappush(agenda, (-scores[found], a, b, len(pair)))
         return symbols
 
-    def _text_of(self, ids: list[int]) -> str:
-        """Surface of ids, byte pieces in a row read as UTF-8."""
-        if self.special.isdisjoint(ids):
-            return "".join([self.surfaces[i] for i in ids])
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i not in self.silent:
-                out.append(self.surfaces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)
-
-    def _segment(self, key: str) -> tuple[bytes, str]:
-        """Ids, little-endian in 32 bits, and surface of the segment U+2581 + ``key``."""
-        ids = self.merge(MARK + key)
-        return array("I", ids).tobytes(), self._text_of(ids)
-
-    def _parts(self, text: str) -> list[tuple[bytes, str]]:
-        keys = text.replace(" ", MARK).split(MARK)
-        if "" in keys:  # runs of several marks belong to one segment
-            keys = [s[1:] for s in _SEGMENT.findall(MARK + MARK.join(keys))]
-        return list(map(self.segments.__getitem__, keys))
+    def merge_many(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids, little-endian in 32 bits, of many runs."""
+        out: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for run in runs:
+            if len(run) > _SHORT:
+                out[run] = array("I", self.merge(run)).tobytes()
+            else:
+                by_length.setdefault(len(run), []).append(run)
+        for length, group in by_length.items():
+            for at in range(0, len(group), _ROWS_AT_ONCE):
+                self._merge_rows(group[at : at + _ROWS_AT_ONCE], length, out)
+        return out
+
+    def _merge_rows(self, runs: list[str], length: int, out: dict[str, bytes]) -> None:
+        points = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        letters, places = np.unique(points, return_inverse=True)
+        known = np.array([self.ids.get(chr(c), -1) for c in letters.tolist()], np.int64)
+        symbols = known[places].reshape(len(runs), length)
+        rows = np.flatnonzero((symbols >= 0).all(axis=1))
+        for k in np.flatnonzero((symbols < 0).any(axis=1)).tolist():  # with bytes' pieces
+            out[runs[k]] = array("I", self.merge(runs[k])).tobytes()
+        symbols = symbols[rows]
+        ranks, merged = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            width = symbols.shape[1]
+            best = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+            live = ranks[np.arange(len(rows)), best] < _NEVER if width > 1 else np.zeros(len(rows), bool)
+            done = symbols[~live].astype("<u4").tobytes()
+            for n, k in enumerate(rows[~live].tolist()):
+                out[runs[k]] = done[4 * width * n : 4 * width * (n + 1)]
+            rows, best, symbols, ranks, merged = rows[live], best[live], symbols[live], ranks[live], merged[live]
+            if not len(rows):
+                break
+            each, spot = np.arange(len(rows)), best[:, None]
+            symbols[each, best] = merged[each, best]
+            at = np.arange(width - 1)
+            symbols = np.take_along_axis(symbols, at + (at > spot), axis=1)
+            at = at[:-1]
+            ranks, merged = (np.take_along_axis(x, at + (at >= spot), axis=1) for x in (ranks, merged))
+            for near in (best - 1, best):  # the two pairs of the new symbol
+                ok = (near >= 0) & (near < width - 2)
+                r, c = each[ok], near[ok]
+                ranks[r, c], merged[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank, ``_NEVER`` if there is none, and piece of pairs of symbols."""
+        key = left * len(self.pieces) + right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        found = self.pair_keys[at] == key
+        return np.where(found, self.pair_ranks[at], _NEVER), self.pair_ids[at]
+
+    def add(self, keys: set[str]) -> None:
+        """Encode the segments (U+2581 + key) that the cache lacks, all at once."""
+        cut: dict[str, list[str]] = {}
+        for key in keys:
+            runs = [key] if key.isalnum() else _RUN.findall(key)
+            if len(runs) < 2 or not all([a[-1] + b[0] not in self.borders for a, b in pairwise(runs)]):
+                runs = [key]
+            cut[key] = [MARK + runs[0], *runs[1:]]
+        own = self.merge_many(list({r for runs in cut.values() for r in runs}))
+        for key, runs in cut.items():
+            self.segments[key] = own[runs[0]] if len(runs) == 1 else b"".join([own[r] for r in runs])
+        self.check_segments(list(cut))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts with begin and end, little-endian in 32 bits."""
+        parts = []
+        for text in texts:
+            keys = text.replace(" ", MARK).split(MARK) if text else []
+            if "" in keys:  # runs of several marks belong to one segment
+                keys = [s[1:] for s in _SEGMENT.findall(MARK + MARK.join(keys))]
+            parts.append(keys)
+        wanted = set(chain.from_iterable(parts))
+        lacking = wanted.difference(self.segments)
+        if len(self.segments) + len(lacking) > _CACHED:
+            self.older, self.segments = self.segments, {}
+            lacking = wanted
+        kept = lacking.intersection(self.older)
+        self.segments.update([(k, self.older[k]) for k in kept])
+        self.add(lacking - kept)
+        get = self.segments.__getitem__  # all there: a generation is put away before the batch is added
+        return [b"".join([self._begin, *map(get, keys), self._end]) for keys in parts]
 
     def encode(self, text: str) -> bytes:
-        """Ids with begin and end, little-endian in 32 bits."""
-        return self.encode_decode(text)[0]
-
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """Ids as ``encode`` gives them, and what they decode to."""
-        begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
-        if not text:
-            return begin + end, ""
-        parts = self._parts(text)
-        return b"".join([begin, *[p[0] for p in parts], end]), "".join([p[1] for p in parts])[1:]
+        """Ids of one text, as ``encode_many`` gives them."""
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of a list of ids; the space in front that encoding adds is taken off."""
-        text = self._text_of(ids)
-        return text[1:] if text.startswith(" ") else text
+        """The text of a list of ids; the space in front that encoding adds is taken off.
+
+        Byte pieces that don't make UTF-8 become U+FFFD each, in runs as ``bytes.decode`` sees them.
+        """
+        return b"".join(map(self.raw.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+    def decode_raw(self, ids: bytes) -> str:
+        """``decode`` of ids in 32 bits."""
+        return self.decode(memoryview(ids).cast("I").tolist())
 
     def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
-        """Compare a batch with the library; a difference is an error."""
+        """Compare whole texts' ids, and what they decode to, with the library; a difference is an error."""
+        if not texts:
+            return
         theirs = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
         for text, own, lib in zip(texts, ids, theirs, strict=True):
             if memoryview(own).cast("I").tolist() != lib:
-                raise ValueError(f"encoding differs from the library's for {text[:80]!r}")
+                raise ValueError(f"encoding differs from the library's in {text[:80]!r}")
         if self.library.decode(theirs, num_threads=1) != decoded:
             raise ValueError("decoding differs from the library's")
 
+    def check_segments(self, keys: list[str]) -> None:
+        """Compare the cache's segments with the library, many of them as one text, which takes fewer calls."""
+        single = [k for k in keys if k.endswith(MARK)]  # a run of marks would grow by the next one's
+        joined = [k for k in keys if k and not k.endswith(MARK)]
+        parts = [[k] for k in single] + [joined[at : at + 256] for at in range(0, len(joined), 256)]
+        texts = [" ".join(p) for p in parts]
+        own = [b"".join([self._begin, *map(self.segments.__getitem__, p), self._end]) for p in parts]
+        self.check(texts, own, list(map(self.decode_raw, own)))
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
@@ -188,7 +245,7 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _encode(model: str, check_bytes: int):
+def _encode(model: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
@@ -198,15 +255,15 @@ def _encode(model: str, check_bytes: int):
             at = 0
             while at < len(texts):
                 end, held = at, 0
-                while end < len(texts) and held < check_bytes:
+                while end < len(texts) and held < _TEXT_AT_ONCE:
                     held += len(texts[end])
                     end += 1
-                part = texts[at:end]
-                got = [own.encode_decode(t) for t in part]
-                own.check(part, [g[0] for g in got], [g[1] for g in got])
-                counts += [len(g[0]) // 4 for g in got]
-                shas += [hashlib.sha256(g[0]).hexdigest() for g in got]
-                decoded_shas += [hashlib.sha256(g[1].encode("utf-8")).hexdigest() for g in got]
+                part = own.encode_many(texts[at:end])
+                back = list(map(own.decode_raw, part))
+                own.check(texts[at : at + 1], part[:1], back[:1])
+                counts += [len(raw) // 4 for raw in part]
+                shas += [hashlib.sha256(raw).hexdigest() for raw in part]
+                decoded_shas += [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back]
                 at = end
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -239,9 +296,6 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(texts, "doc_id long, text string")
 
 
-def piece_digests(docs: DataFrame, model: str, *, check_bytes: int = 1 << 20) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    ``check_bytes`` is how much text is compared with the library at a time.
-    """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(model, check_bytes), _ROWS)
+def piece_digests(docs: DataFrame, model: str) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(model), _ROWS)

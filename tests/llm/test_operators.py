@@ -269,11 +269,11 @@ def test_sentencepiece(spark, edge_rows, real):
     assert piece_digests(frame(spark, []), PIECES).collect() == []
 
 
-def test_merge_agenda_of_long_and_short_segments():
+def test_merging_many_runs_is_merging_each():
     own, rng = codec(PIECES), random.Random(6)
-    for n in list(range(1, 60)) + [400]:
-        segment = "▁" + "".join(rng.choice("abcdeinorst") for _ in range(n))
-        assert [s for s in own._merge_long(segment) if s] == own._merge_short(segment)
+    runs = {"".join(rng.choice("▁abcdeinorstéß日\n.") for _ in range(rng.randrange(1, 70))) for _ in range(2000)}
+    many = own.merge_many(list(runs))
+    assert all(memoryview(many[r]).cast("I").tolist() == own.merge(r) for r in runs)
 
 
 def test_sentencepiece_difference_is_an_error():
