@@ -1,20 +1,24 @@
 """Language identification by compression with one dictionary for each language.
 
-For each language of the training rows, raw-content zstandard dictionaries are made of texts of
+For each language of the training rows, a raw-content zstandard dictionary is made of the words of
 at most ``docs_per_language`` of its rows (those with the least hash of ``doc_id``), of at most
-``bytes_per_doc`` each and ``dictionary_bytes`` together. A text belongs to the language whose
-dictionary compresses it to the fewest bytes. Where the second is nearly as small (by less than
-``min_margin`` of its size) the answer is marked as rejected and has a low score.
+``chars_per_doc`` characters each. It holds the words of several texts by falling distance from
+the end as they are more frequent, at most ``dictionary_bytes`` of them; single passages, which
+texts of other languages may share, don't get in. A text is reduced to its lower-case words and
+belongs to the language whose dictionary compresses it to the fewest bytes. Where the second is
+nearly as small (by less than ``min_margin`` of its size) the answer is marked as rejected and
+has a low score.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, and so is everything
-where no language was learnt. Ties go to the language first in order. Rows with null ``lang`` or
-null ``doc_id`` aren't learnt from. Repeated rows get equal results; extra columns are ignored.
+where no language was learnt. Ties go to the language with more training rows. Rows with null
+``lang`` or null ``doc_id`` aren't learnt from. Repeated rows get equal results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import columns
 
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _ROWS = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -33,29 +38,34 @@ def _held_out() -> Column:
 
 
 def _plain(text: str) -> bytes:
-    return text.lower().encode("utf-8", "surrogatepass")
+    """The text's words in lower case."""
+    return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
-def learn_dictionaries(docs: DataFrame, *, docs_per_language: int = 256, bytes_per_doc: int = 4096, dictionary_bytes: int = 112_640, max_languages: int = 1000) -> dict[str, bytes]:
-    """The raw content of each language's dictionary.
+def _dictionary(texts: list[bytes], most: int) -> bytes:
+    """Words of at least two texts, the most frequent last, where references are cheapest."""
+    found = Counter(w for t in set(texts) for w in set(t.split()))
+    several = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n > 1 or len(texts) < 8]
+    return b" ".join(reversed(several))[-most:]
+
+
+def learn_dictionaries(docs: DataFrame, *, docs_per_language: int = 256, chars_per_doc: int = 8192, dictionary_bytes: int = 112_640, max_languages: int = 1000) -> dict[str, bytes]:
+    """The raw content of each language's dictionary, languages with more training rows first.
 
     Ids are picked from the narrow columns, with a limit for each language applied before the
     shuffle; only then are the picked rows' texts read.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter("lang IS NOT NULL").filter(~_held_out())
+    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language)
-    picked = picked.orderBy("rank", "lang").limit(docs_per_language * max_languages).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "rank")
+    picked = picked.orderBy("rank", "lang").limit(docs_per_language * max_languages).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    rows = texts.filter("text IS NOT NULL").select("lang", "rank", F.substring("text", 1, bytes_per_doc).alias("text")).distinct().collect()
     parts: dict[str, list[bytes]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
-    for row in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
-        raw = _plain(row["text"])[:bytes_per_doc]
-        if raw and raw not in parts[row["lang"]] and size[row["lang"]] + len(raw) <= dictionary_bytes:
-            parts[row["lang"]].append(raw)
-            size[row["lang"]] += len(raw)
-    return {lang: b"\n".join(x) for lang, x in sorted(parts.items()) if sum(map(len, x)) >= 8}
+    for row in texts.filter("text IS NOT NULL").select("lang", F.substring("text", 1, chars_per_doc).alias("text")).collect():
+        parts[row["lang"]].append(_plain(row["text"]))
+    made = {lang: _dictionary(parts[lang], dictionary_bytes) for lang in common}
+    return {lang: raw for lang, raw in made.items() if len(raw) >= 8}
 
 
 class Classifier:
@@ -64,24 +74,24 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int, min_margin: float):
         self.min_margin = min_margin
         self.own = []
-        for lang, raw in sorted(dictionaries.items()):
+        for rank, (lang, raw) in enumerate(dictionaries.items()):
             made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             made.precompute_compress(level=level)
-            self.own.append((lang, zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False)))
+            self.own.append((rank, lang, zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False)))
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin was too narrow."""
         if not text or not self.own or not _LETTER.search(text):
             return "und", 0.0, True
         raw = _plain(text)
-        sizes = sorted((len(c.compress(raw)), lang) for lang, c in self.own)
+        sizes = sorted((len(c.compress(raw)), rank, lang) for rank, lang, c in self.own)
         if len(sizes) == 1:
-            return sizes[0][1], 1.0, False
+            return sizes[0][2], 1.0, False
         margin = 1 - sizes[0][0] / sizes[1][0]
-        return sizes[0][1], margin / (margin + self.min_margin), margin < self.min_margin
+        return sizes[0][2], margin / (margin + self.min_margin), margin < self.min_margin
 
 
-def identify_language(docs: DataFrame, *, level: int = 3, min_margin: float = 0.01, **bounds: int) -> DataFrame:
+def identify_language(docs: DataFrame, *, level: int = 9, min_margin: float = 0.01, **bounds: int) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score, rejected.
 
     A score of 0.5 is a margin of just ``min_margin``.
