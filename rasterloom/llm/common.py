@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that count as white space in every contract of this package.
 SPACE = " \t\n\x0b\x0c\r"
@@ -56,6 +57,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` with the largest ``n``, as many as fit in ``most`` without cutting through like counts.
+
+    The limit is found in a histogram of the counts' logarithms, which has some thousands of rows
+    at most, so no task sends more than its share of the result.
+    """
+    level = F.floor(F.log2("n") * 64).cast("int")
+    held, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    return counts.filter(level >= least) if least is not None else counts.limit(0)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` wrote in this session."""
     try:

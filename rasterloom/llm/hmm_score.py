@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, flat_list, materialize
+from .common import columns, flat_list, materialize, most_frequent
 from .shingles import words_of
 
 _BLOCK = 300_000
@@ -297,7 +297,7 @@ def hmm_scores(docs: DataFrame, *, states: int = 8, rounds: int = 3, own: int =
     distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     types, tokens = distinct + (ends > 0), total + ends
 
-    top = counts.orderBy(F.desc("n"), "word").limit(hot).collect()
+    top = sorted(most_frequent(counts, hot).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     words = {bytes(r["word"]): k for k, r in enumerate(top)}
     number = np.array([r["n"] for r in top], np.float64)
     own = min(own, len(top))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import TwoGenerations
-from .common import columns
+from .common import columns, materialize, most_frequent
 
 # Fixed value: the pre-token pattern of byte-level BPE tokenizers of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,9 +122,9 @@ def _summaries(summary: int):
 
 def hot_table(docs: DataFrame, tokenizer: str, *, hot: int = 32_768, summary: int = 16_384) -> HotTable:
     """The lengths of the pre-tokens of the corpus's most frequent words."""
-    words = docs.select("text").mapInArrow(_summaries(summary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(docs.select("text").mapInArrow(_summaries(summary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent-words")
     counts: Counter[str] = Counter()
-    for word, n in words.orderBy(F.desc("n"), "word").limit(hot).collect():
+    for word, n in most_frequent(words, hot).collect():
         for token in _PATTERN.findall(" " + word):
             counts[token] += n
     own = library(tokenizer)
