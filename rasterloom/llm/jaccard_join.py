@@ -15,11 +15,13 @@ positions' hashes.
 
 Verification. Pieces that several documents share make buckets. A first round verifies each
 document against one bucket leader only, and equal sets are one class from the start, which
-links most of what belongs together with one comparison a document. The second round takes the
-buckets that still hold several components and compares, in blocks, every pair from different
-components by folded sketches; the pairs whose Hamming distance allows it are verified on the
-shingle sets. A pair inside one component is never emitted, a pair across components never
-skipped, so the components are those of all links.
+links most of what belongs together with one comparison a document. Further rounds take the
+buckets that still hold several components and compare, in blocks, every pair from different
+components by folded sketches. Of the pairs whose Hamming distance allows a link, each component
+of a block sends its nearest few to be verified on the shingle sets; what links leaves no more to
+do inside a component, and the next round sends eight times as many. The last round is one in
+which no pair was held back. So a pair across components is never skipped, and large groups of
+near copies grow together without all their pairs.
 
 Edge cases: a null or blank text has no shingles and its own class. Null ``doc_id``s take part;
 a class is named by its least non-null id. Rows repeated with one ``doc_id`` are separate
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,7 @@ _SLOT_BITS = 22
 _SLOTS = 1 << _SLOT_BITS
 _SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
 _BLOCK = 512
+_BROADCAST_ROWS = 50_000
 _EMPTY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -236,13 +240,32 @@ def _verify(limit: Threshold):
     return verify
 
 
-def _links(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, limit: Threshold) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+
+
+class _Sets:
+    """Shingle sets of the documents asked for so far; texts are read again only for others."""
+
+    def __init__(self, docs: DataFrame, sketched: DataFrame, width: int):
+        self._docs, self._sketched, self._width = docs, sketched, width
+        self.table: DataFrame | None = None
+
+    def add(self, wanted: DataFrame) -> DataFrame:
+        """The sets, those of ``wanted(uid)`` among them."""
+        lacking = wanted if self.table is None else wanted.join(self.table.select("uid"), "uid", "left_anti")
+        keyed = materialize(self._sketched.join(lacking, "uid", "left_semi").select("uid", F.col("doc_id").alias("__id"), "set_key"), "wanted")
+        n = 0 if self.table is None else keyed.count()
+        if self.table is None or n:
+            side = F.broadcast(keyed) if 0 < n <= _BROADCAST_ROWS else keyed.hint("shuffle_hash")
+            found = self._docs.join(side, self._docs["doc_id"].eqNullSafe(side["__id"])).select("uid", "set_key", "text")
+            new = materialize(found.mapInArrow(_sets(self._width), "uid long, shingles binary"), "sets")
+            self.table = new if self.table is None else self.table.union(new)
+        return self.table
+
+
+def _links(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough; a hub's partners are dealt out by salt."""
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    keyed = materialize(sketched.join(wanted, "uid", "left_semi").select("uid", F.col("doc_id").alias("__id"), "set_key"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(keyed.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(keyed["__id"])).select("uid", "set_key", "text")
-    sets = materialize(found.mapInArrow(_sets(width), "uid long, shingles binary"), "sets")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
     hubs = degree.join(sets, degree["a"] == sets["uid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
     members = pairs.join(degree, "a").join(sets, F.col("b") == F.col("uid")).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b", "shingles")
@@ -258,40 +281,66 @@ def _narrowed(sketch: int, bits: int, to: int) -> int:
     return sketch
 
 
-def _near_in_run(limit: Threshold, same: bool, rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
-    """Pairs of a run's (n, uid, component, block, sketch) from different components, near enough by sketch."""
+def _near_in_run(limit: Threshold, same: bool, rows: list[tuple[int, int, int, int, bytes]], most: int) -> tuple[set[tuple[int, int]], bool]:
+    """Pairs of a run's (n, uid, component, block, sketch) from different components, near enough by sketch.
+
+    At most ``most`` for each component, the nearest; and whether others were held back.
+    """
     rows.sort()
     sizes = [r[0] for r in rows]
     sketches = [(int.from_bytes(r[4], "little"), 8 * len(r[4])) for r in rows]
-    most, over, under = limit.partner, limit.den - limit.num, limit.den + limit.num
+    over, under = limit.den - limit.num, limit.den + limit.num
+    nearest: dict[int, list] = {}
+    count = 0
     for k, (n, uid, component, block, _) in enumerate(rows):
         own, bits = sketches[k]
-        for m in range(k + 1, bisect_right(sizes, most(n), k + 1)):
+        for m in range(k + 1, bisect_right(sizes, limit.partner(n), k + 1)):
             n2, uid2, component2, block2, _ = rows[m]
             if component2 != component and (same or block2 != block):
                 other, bits2 = sketches[m]
                 if bits2 > bits:
                     other = _narrowed(other, bits2, bits)
-                if (own ^ other).bit_count() * under <= (n + n2) * over:
-                    yield (uid, uid2) if uid < uid2 else (uid2, uid)
-
-
-def _near(limit: Threshold):
+                apart = (own ^ other).bit_count()
+                if apart * under <= (n + n2) * over:
+                    count += 1
+                    entry = (-apart / (n + n2), (uid, uid2) if uid < uid2 else (uid2, uid))
+                    for c in (component, component2):
+                        heap = nearest.setdefault(c, [])
+                        if len(heap) < most:
+                            heappush(heap, entry)
+                        elif entry > heap[0]:
+                            heapreplace(heap, entry)
+    found = {pair for heap in nearest.values() for _, pair in heap}
+    return found, len(found) < count
+
+
+def _near(limit: Threshold, most: int):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by (piece, i, j): the near pairs of each such block, once a batch."""
+        """From rows sorted by (piece, i, j): the near pairs of each such block, once a batch.
+
+        The pair (-1, -1) tells that others were held back.
+        """
         run, key = [], None
+
+        def end_of_run(found: set[tuple[int, int]]) -> None:
+            if len(run) > 1:
+                pairs, more = _near_in_run(limit, key[1] == key[2], run, most)
+                found.update(pairs)
+                if more:
+                    found.add((-1, -1))
+
         for batch in batches:
-            found = set()
+            found: set[tuple[int, int]] = set()
             names = ("piece", "i", "j", "n", "uid", "component", "block", "folded")
             for piece, i, j, *row in zip(*(x.to_pylist() for x in columns(batch, *names)), strict=True):
                 if (piece, i, j) != key:
-                    if len(run) > 1:
-                        found.update(_near_in_run(limit, key[1] == key[2], run))
+                    end_of_run(found)
                     run, key = [], (piece, i, j)
                 run.append(tuple(row))
             yield _pairs(found)
-        if len(run) > 1:
-            yield _pairs(set(_near_in_run(limit, key[1] == key[2], run)))
+        found = set()
+        end_of_run(found)
+        yield _pairs(found)
 
     return near
 
@@ -324,24 +373,31 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, i
     fits = limit.den * F.least("n", "leader_n") >= limit.num * F.greatest("n", "leader_n")
     led = shared.filter((F.col("uid") != F.col("leader")) & fits).groupBy("uid", "leader").agg(F.count(F.lit(1)).alias("times"))
     first = materialize(led.groupBy("uid").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("uid").alias("b")), "first-pairs")
-    edges = materialize(_links(docs, sketched, first, width, limit).union(copies), "links")
+    sets = _Sets(docs, sketched, width)
+    edges = materialize(_links(first, sets.add(_ends(first)), limit).union(copies), "links")
     classes = materialize(components(edges), "classes")
 
-    # Buckets with the same members are one; a bucket of one component has nothing left to verify.
+    # Buckets with the same members are one.
     whole = buckets.filter("uid IS NULL").groupBy("members", "n", "leader").agg(F.min("piece").alias("piece")).select("piece")
-    placed = shared.select("piece", "uid", "n").join(whole, "piece", "left_semi").join(classes, F.col("uid") == F.col("node"), "left").select("piece", "uid", "n", F.coalesce("component", "uid").alias("component"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("piece").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-    open_rows = placed.join(mixed.select("piece", F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks")), "piece")
-    open_rows = materialize(open_rows.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")), "open-buckets")
-    if not open_rows.isEmpty():
-        folded = sketched.select("uid", "folded").filter("folded IS NOT NULL")
+    members = materialize(shared.select("piece", "uid", "n").join(whole, "piece", "left_semi"), "members")
+    folded = sketched.select("uid", "folded").filter("folded IS NOT NULL")
+    tested, most, held_back = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1, True
+    while held_back:
+        placed = members.join(classes, F.col("uid") == F.col("node"), "left").select("piece", "uid", "n", F.coalesce("component", "uid").alias("component"))
+        mixed = placed.groupBy("piece").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
+        open_rows = placed.join(mixed.select("piece", F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks")), "piece")
+        open_rows = materialize(open_rows.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")), "open-buckets")
+        if open_rows.isEmpty():
+            break
         spread = open_rows.join(folded, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("piece", "uid", "n", "component", "block", "folded", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        more = spread.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j").mapInArrow(_near(limit), "a long, b long").distinct()
-        more = materialize(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
+        near = materialize(spread.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j").mapInArrow(_near(limit, most), "a long, b long").distinct(), "near-pairs")
+        held_back = not near.filter("a < 0").isEmpty()
+        more = materialize(near.filter("a >= 0").join(tested, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            edges = edges.union(materialize(_links(docs, sketched, more, width, limit), "links"))
+            edges = edges.union(materialize(_links(more, sets.add(_ends(more)), limit), "links"))
             classes = materialize(components(edges), "classes")
+            tested = tested.union(more)
+        most *= 8
 
     rows = sketched.select("uid", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles")).join(classes, F.col("uid") == F.col("node"), "left")
     rows = materialize(rows.select("doc_id", "n_shingles", "component"), "class-rows")
