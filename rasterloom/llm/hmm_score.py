@@ -10,7 +10,7 @@ corpus, and a word's own part of the score is the same sum of ``log10(c + 1)`` t
 Training. Baum-Welch: each round maps over the training texts' class sequences, in blocks of
 texts of like length, and sums expected counts of (state, class), transitions and starts across
 partitions; only those sums, of a size fixed by the parameters, come to the driver. States start
-from clusters of a bounded sample of texts.
+from clusters of a bounded sample of different texts, and from noise where there are too few.
 
 Scoring. The scaled forward recursion gives the exact log10 likelihood of the class sequence;
 the counts of rare words are joined to the texts by word. The ``hot`` most frequent words, which
@@ -237,30 +237,44 @@ def _expected(model):
 
 
 def _first_states(sample: list[np.ndarray], prior: np.ndarray, states: int) -> Hmm:
-    """States from clusters of the sample: far-apart texts seed them, texts go to the most similar seed."""
+    """States from clusters of the sample: far-apart texts seed them, texts go to the most similar seed.
+
+    Where the sample has fewer different texts than states, the others are the prior with fixed noise, so
+    that no two states start alike.
+    """
     start = np.full(states, 1 / states)
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    emit = np.repeat(prior[:, None], states, axis=1)
-    sample = [s for s in sample if len(s) > 20]
-    if len(sample) >= states:
+    emit = prior[:, None] * np.random.default_rng(0).uniform(0.5, 1.5, (len(prior), states))
+    long = [s for s in sample if len(s) > 20]
+    sample = long if len(long) >= states else [s for s in sample if len(s) > 1]
+    if sample:
         hist = np.sqrt(np.stack([np.bincount(s[:-1], minlength=len(prior)) / (len(s) - 1) for s in sample]))
         seeds, near = [0], hist @ hist[0]
-        while len(seeds) < states:
+        while len(seeds) < states and near.min() < 1 - 1e-9:
             seeds.append(int(near.argmin()))
             near = np.maximum(near, hist @ hist[seeds[-1]])
         own = (hist @ hist[seeds].T).argmax(axis=1)
-        for s in range(states):
+        for s in range(len(seeds)):
             mass = np.square(hist[own == s]).sum(axis=0)
-            emit[:, s] = 0.5 * prior + 0.5 * mass / mass.sum()
+            if mass.any():
+                emit[:, s] = 0.5 * prior + 0.5 * mass / mass.sum()
     return Hmm(start, move, emit / emit.sum(axis=0))
 
 
+def _sample(sequences: DataFrame, rows: int) -> list[np.ndarray]:
+    """The class sequences of ``rows`` different texts: those of the least hashes, each once however many copies it has."""
+    texts = sequences.groupBy(F.xxhash64("classes").alias("text")).agg(F.min("rid").alias("rid"))
+    chosen = [r["rid"] for r in texts.orderBy("text").limit(rows).collect()]
+    found = sequences.filter(F.col("rid").isin(chosen)).select("rid", F.substring("classes", 1, 4096).alias("classes")).collect()
+    place = {rid: k for k, rid in enumerate(chosen)}
+    return [np.frombuffer(r["classes"], np.uint16) for r in sorted(found, key=lambda r: place[r["rid"]])]
+
+
 def train(sequences: DataFrame, prior: np.ndarray, *, states: int, rounds: int, sample_rows: int, weight: float = 50.0) -> Hmm:
     """Baum-Welch over ``sequences(rid, classes)``; ``weight`` is the prior's share in each state's emissions."""
     spark = sequences.sparkSession
-    sample = [np.frombuffer(r[0], np.uint16) for r in sequences.orderBy(F.xxhash64("classes"), "rid").select(F.substring("classes", 1, 4096).alias("classes")).limit(sample_rows).collect()]
-    model = _first_states(sample, prior, states)
+    model = _first_states(_sample(sequences, sample_rows), prior, states)
     for _ in range(rounds):
         sums = sequences.select("classes").mapInArrow(_expected(spark.sparkContext.broadcast(model)), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
         flat = np.zeros(states + states * states + states * len(prior))

@@ -373,6 +373,31 @@ def test_hmm_edges(spark, edge_rows):
     assert all(math.isfinite(r.score) for r in hmm_scores(frame(spark, edge_rows)).collect())
 
 
+@pytest.mark.parametrize("others", [0, 3, 7, 40])
+def test_hmm_of_many_copies(spark, others):
+    """Copies of one long text start one state, however they fill the sample by rows."""
+    rng = random.Random(7)
+    copied = words(rng, 30)
+    rows = [(k, copied) for k in range(20)] + [(100 + k, words(rng, 30)) for k in range(others)]
+    got = hmm_scores(frame(spark, rows), sample_rows=16).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) for r in got)
+
+
+def test_hmm_sample_and_first_states(spark):
+    import numpy as np
+
+    from rasterloom.llm.hmm_score import _first_states, _sample
+
+    texts = [np.full(30, 1, np.uint16)] * 200 + [np.array([k % 5, k, 9], np.uint16) for k in range(9)]
+    table = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "rid long, classes binary")
+    assert len({x.tobytes() for x in _sample(table, 10)}) == len(_sample(table, 10)) == 10
+    prior = np.full(10, 0.1)
+    for sample in (texts[:20], texts[200:], texts[200:203], []):
+        emit = _first_states(sample, prior, 8).emit
+        assert np.isfinite(emit).all() and np.allclose(emit.sum(axis=0), 1)
+        assert all(abs(emit[:, a] - emit[:, b]).max() > 1e-3 for a in range(8) for b in range(a))
+
+
 def test_forward_is_the_sum_over_all_paths():
     import itertools
 
