@@ -39,16 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, *, release: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Lineage ends there: a lost executor costs a read of the table, no recomputation. Values
     which are not functions of the row alone (row numbers) are fixed from then on. Tables are
-    deleted when the session ends or by ``cleanup``.
+    deleted when the session ends or by ``cleanup``. With ``release`` Spark deletes the shuffle
+    files of the write as it ends; else they stay until the driver's JVM collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     app = spark.sparkContext.applicationId
     if app not in _TABLES:
         _TABLES[app] = []

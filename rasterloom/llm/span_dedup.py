@@ -1,13 +1,15 @@
 """Substring deduplication by sliding spans of sentences.
 
-Texts are cut into sentences after ``.``, ``!``, ``?`` with white space and at line ends. A
-sentence of more than ``long_sentence`` words is cut again at words chosen by their own hash,
-so a passage is cut alike wherever it stands. For every sentence two spans are hashed: the
-shortest run of sentences that begins with it, and the shortest that ends with it, of at least
-``min_sentences`` sentences and ``min_words`` words. Inside a repeated passage every sentence
-lies in such a span, whatever surrounds it. Spans meet globally by their 128-bit hash; in
-document order the first occurrence stays, and the sentences that any other occurrence covers
-are removed. Sentences compare by their words with A-Z in lower case.
+Texts are cut into sentences after ``.``, ``!``, ``?`` with white space and at line ends, and
+every sentence is cut again after each word whose hash is the least of some ``window`` words in
+a row of the sentence. So no unit passes ``window`` words, and a cut depends on fewer than
+``window`` words to each side: a passage is cut alike wherever it stands, but for at most
+``window`` words at its begin and ``window - 1`` at its end. For every unit two spans are hashed:
+the shortest run of units that begins with it, and the shortest that ends with it, of at least
+``min_sentences`` units and ``min_words`` words. Inside a repeated passage every unit lies in
+such a span, whatever surrounds it. Spans meet globally by the 128-bit hash of their units; in
+document order the first occurrence stays, and the units that any other occurrence covers are
+removed. Words compare with A-Z in lower case. Units are what ``n_sentences`` counts.
 
 Occurrences that an Arrow batch already knows to be later ones are decided there, so of a hot
 span at most one occurrence a batch reaches the global comparison.
@@ -21,9 +23,8 @@ documents. A text whose sentences are all removed becomes empty. Columns beyond
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,63 +35,118 @@ from pyspark.sql import types as T
 
 from .common import SPACE_BYTES, columns, materialize, mix
 
-_CUT = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A-\x0D]+[\x20\x09-\x0D]*")
-_SPANS = "key1 long, key2 long, known boolean, doc_id long, text_key long, a int, b int"
+_SPACE, _LINE, _STOP = (np.isin(np.arange(256), list(x)) for x in (SPACE_BYTES, b"\n\x0b\x0c\r", b".!?"))
+#: ``at`` is the first unit and the number of units, all bits turned where the batch has an earlier occurrence.
+_SPANS = "key1 long, key2 long, doc_id long, text_key long, at long"
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 _NO_ID = (1 << 63) - 1
+_PART = 1 << 19  # bytes of texts that are cut at once
+_ROWS = 1 << 18  # rows of an Arrow batch of spans
 
 
-def sentences(raw: bytes, long_sentence: int = 24) -> tuple[list[int], list[int], list[bytes]]:
-    """A text's sentences: where each begins, its number of words and its digest.
+@dataclass
+class Units:
+    """The units of some texts, one text after another.
 
-    A sentence takes the white space after it; the digest is of its words in lower case.
+    ``bounds`` has each text's first unit, and the number of all; ``first`` and ``start`` each unit's
+    first word and first byte within its text's; ``hashes`` two a word.
     """
-    starts, counts, digests = [], [], []
-    edges = [0, *(m.end() for m in _CUT.finditer(raw)), len(raw)]
-    lower = raw.lower()
-    for a, b in zip(edges, edges[1:]):
-        words = lower[a:b].split()
-        if len(words) <= long_sentence:
-            if a < b:
-                starts.append(a)
-                counts.append(len(words))
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            continue
-        at = begin = a
-        first = 0
-        for k, word in enumerate(words):
-            at = lower.index(word, at) + len(word)
-            if k + 1 == len(words) or xxhash.xxh3_64_intdigest(word) % 8 == 0:
-                starts.append(begin)
-                counts.append(k + 1 - first)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words[first : k + 1])))
-                first = k + 1
-                while at < b and lower[at] in SPACE_BYTES:
-                    at += 1
-                begin = at
-    return starts, counts, digests
-
-
-def spans(counts: list[int], digests: list[bytes], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two hashes a row, first sentence, sentence after the last) of the shortest runs from and to each sentence."""
-    n = len(counts)
-    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    bounds: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    hashes: np.ndarray
+
+
+def _units(raws: list[bytes], window: int) -> Units:
+    """White space belongs to the unit before it, or to a text's first unit; texts without words have none."""
+    joined = b"\n".join(raws)
+    words = joined.lower().split()
+    size = np.array([len(x) + 1 for x in raws], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    n = len(words)
+    if not n:
+        return Units(np.zeros(len(raws) + 1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([digest(w) for w in words]), np.uint64).reshape(-1, 2)
+    byte = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[byte], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    lines = np.searchsorted(np.flatnonzero(_LINE[byte]), ends)  # line ends before each word's end
+    cut = np.ones(n, bool)  # after each word; texts are parted by a line end
+    cut[:-1] = _STOP[byte[ends[:-1] - 1]] | (lines[1:] > lines[:-1])
+    sentence = np.cumsum(cut) - cut
+    if n >= window:
+        m = n - window + 1
+        least, place = hashes[:m, 0], np.arange(m)
+        for k in range(1, window):
+            other = hashes[k : k + m, 0]
+            place = np.where(other <= least, np.arange(k, k + m), place)
+            least = np.minimum(least, other)
+        cut[place[sentence[:m] == sentence[window - 1 :]]] = True
+    first = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    text = np.searchsorted(begin, starts[first[:-1]], side="right") - 1
+    bounds = np.searchsorted(text, np.arange(len(raws) + 1))
+    start = starts[first[:-1]] - begin[text]
+    start[bounds[:-1][bounds[1:] > bounds[:-1]]] = 0
+    return Units(bounds, first, start, hashes)
+
+
+def sentences(raw: bytes, window: int = 6) -> tuple[list[int], list[int], list[bytes]]:
+    """A text's units: where each begins, its number of words and its digest.
+
+    A unit takes the white space after it; the digest is of its words in lower case.
+    """
+    u = _units([raw], window)
+    if not len(u.start):
+        return ([0], [0], [xxhash.xxh3_128_digest(b"")]) if raw else ([], [], [])
+    own = [xxhash.xxh3_128_digest(u.hashes[a:b].tobytes()) for a, b in zip(u.first, u.first[1:])]
+    return u.start.tolist(), np.diff(u.first).tolist(), own
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the steps and of their inverses modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        inverse = np.array([pow(int(x), -1, 1 << 64) for x in _STEPS], np.uint64)
+        for k, x in enumerate((_STEPS, inverse)):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones((1, 2), np.uint64), np.broadcast_to(x, (2 * n, 2))]), axis=0)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_POWERS = [np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint64)]
+
+
+def _of_runs(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two hashes of each run of rows of ``hashes``: a polynomial, from sums up to its begin and its end."""
+    power, inverse = _powers(len(hashes))
+    sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(hashes * inverse, axis=0, dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * power[start])
+
+
+def spans(u: Units, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes a row, text, first unit, unit after the last) of the shortest runs from and to each unit of its text."""
+    n, total = len(u.start), u.first
+    text = np.repeat(np.arange(len(u.bounds) - 1), np.diff(u.bounds))
     at = np.arange(n + 1)
-    fore = np.maximum(at + min_sentences, np.searchsorted(total, total + min_words))  # least j for each i
-    back = np.minimum(at - min_sentences, np.searchsorted(total, total - min_words, side="right") - 1)  # greatest i for each j
-    i = np.concatenate([at[fore <= n], back[back >= 0]])
-    j = np.concatenate([fore[fore <= n], at[back >= 0]])
-    run = np.unique(i * np.int64(n + 1) + j)
+    low, high = u.bounds[text], u.bounds[text + 1]
+    fore = np.maximum(at + min_sentences, np.searchsorted(total, total + min_words))[:-1]  # least j for each i
+    back = np.minimum(at - min_sentences, np.searchsorted(total, total - min_words, side="right") - 1)[1:]  # greatest i for each j
+    a, b = fore <= high, back >= low
+    run = np.unique(np.concatenate([at[:-1][a] * np.int64(n + 1) + fore[a], back[b] * np.int64(n + 1) + at[1:][b]]))
     i, j = run // (n + 1), run % (n + 1)
-    own = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    keys = np.zeros((len(i), 2), np.uint64)
-    length, k = j - i, 0
-    live = np.arange(len(i))
-    while len(live):  # sentence after sentence of all spans at once
-        keys[live] = keys[live] * _STEPS + own[i[live] + k]
-        k += 1
-        live = live[length[live] > k]
-    return mix(keys), i, j
+    own = text[i]
+    return _of_runs(_of_runs(u.hashes, total[:-1], total[1:]), i, j), own, i - u.bounds[own], j - u.bounds[own]
+
+
+def _parts(raws: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of about ``_PART`` bytes at once; null as empty."""
+    at, held, size = 0, [], 0
+    for k, raw in enumerate(raws):
+        held.append(raw or b"")
+        size += len(held[-1])
+        if size >= _PART or k + 1 == len(raws):
+            yield at, held
+            at, held, size = k + 1, [], 0
 
 
 def _text_key(raw: bytes | None) -> int:
@@ -101,40 +157,46 @@ def _raw(text: str | None) -> bytes | None:
     return None if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def _find(long_sentence: int, min_sentences: int, min_words: int):
+def _find(window: int, min_sentences: int, min_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All spans; ``known`` is true where the batch itself has an earlier occurrence.
+        """All spans; those that the batch itself has earlier are known to be later ones.
 
-        Those keep nothing to be compared: their key is set to their document's, so that they
+        They keep nothing to be compared: their key is set to their document's, so that they
         spread out, and a span costs one comparable row a batch however common it is.
         """
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
-            keys, parts, lengths = [], [], []
-            for text in texts.to_pylist():
-                raw = _raw(text)
-                keys.append(_text_key(raw))
-                _, counts, digests = sentences(raw, long_sentence) if raw else ([], [], [])
-                if counts:
-                    parts.append(spans(counts, digests, min_sentences, min_words))
-                lengths.append(len(parts[-1][1]) if counts else 0)
-            row = np.repeat(np.arange(len(keys)), lengths)
-            hashes = np.concatenate([x[0] for x in parts]) if parts else np.zeros((0, 2), np.uint64)
-            start, end = (np.concatenate([x[k] for x in parts]).astype(np.int32) if parts else np.zeros(0, np.int32) for k in (1, 2))
+            raws = [_raw(t) for t in texts.to_pylist()]
+            keys = [_text_key(x) for x in raws]
+            none = np.zeros(0, np.int64)
+            parts = [(np.zeros((0, 2), np.uint64), none, none, none)]
+            for at, held in _parts(raws):
+                found = spans(_units(held, window), min_sentences, min_words)
+                parts.append((found[0], found[1] + at, *found[2:]))
+            hashes, row = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            start, end = (np.concatenate([x[k] for x in parts]).astype(np.int32) for k in (2, 3))
+            del parts
             text_key = np.array(keys, np.int64)[row]
             absent = ids.is_null().to_numpy(zero_copy_only=False)[row]
             doc = ids.fill_null(0).to_numpy(zero_copy_only=False)[row]
             key1, key2 = hashes[:, 0].view(np.int64).copy(), hashes[:, 1].view(np.int64).copy()
-            order = np.lexsort((start, text_key, doc, absent, key2, key1))
+            order = np.argsort(key1)
+            same = np.zeros(len(order) + 1, bool)
+            same[1:-1] = key1[order][1:] == key1[order][:-1]
+            order = order[same[1:] | same[:-1]]  # only spans of which there are several
+            order = order[np.lexsort([x[order] for x in (start, text_key, doc, absent, key2, key1)])]
             again = np.zeros(len(order), bool)
             again[1:] = (key1[order][1:] == key1[order][:-1]) & (key2[order][1:] == key2[order][:-1])
-            known = np.zeros(len(order), bool)
+            known = np.zeros(len(row), bool)
             known[order] = again
             # repeated rows of one text are one document: its own first spans stay comparable
             one = known & np.isin(row, _repeated(doc, absent, text_key, row))
             known &= ~one
             key1[known], key2[known] = doc[known], start[known]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key1, key2, known)] + [pa.array(doc, mask=absent)] + [pa.array(x) for x in (text_key, start, end)], ["key1", "key2", "known", "doc_id", "text_key", "a", "b"])
+            place = start.astype(np.int64) << 31 | (end - start)
+            out = pa.RecordBatch.from_arrays([pa.array(key1), pa.array(key2), pa.array(doc, mask=absent), pa.array(text_key), pa.array(np.where(known, ~place, place))], ["key1", "key2", "doc_id", "text_key", "at"])
+            for at in range(0, max(1, len(row)), _ROWS):
+                yield out.slice(at, _ROWS)
 
     return find
 
@@ -151,10 +213,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by span and place: those that aren't of their span's first place."""
     last = None  # the current span and its first place
     for batch in batches:
-        key1, key2, known, doc, text_key, a, b = (x.to_numpy(zero_copy_only=False) for x in columns(batch, "key1", "key2", "known", "at_id", "text_key", "a", "b"))
+        key1, key2, known, doc, text_key, at = (x.to_numpy(zero_copy_only=False) for x in columns(batch, "key1", "key2", "known", "at_id", "text_key", "at"))
         if not len(key1):
             continue
-        place = np.stack([key1, key2, known, doc, text_key, a], axis=1).astype(np.int64)
+        run = np.where(known, ~at, at)
+        place = np.stack([key1, key2, known, doc, text_key, run >> 31], axis=1).astype(np.int64)
         if last is not None:
             place = np.concatenate([last[None], place])
         new = np.ones(len(place), bool)
@@ -165,7 +228,9 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later = later[1:]
         last = place[first[-1]]
         keep = pa.array(later)
-        yield pa.RecordBatch.from_arrays([x.filter(keep) for x in columns(batch, "doc_id", "text_key", "a", "b")], ["doc_id", "text_key", "a", "b"])
+        a = run[later] >> 31
+        b = a + (run[later] & (1 << 31) - 1)
+        yield pa.RecordBatch.from_arrays([*(x.filter(keep) for x in columns(batch, "doc_id", "text_key")), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "text_key", "a", "b"])
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,62 +240,65 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "text_key"])
 
 
-def _cleaned(long_sentence: int):
+def _cleaned(window: int):
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, text, n_sentences, n_removed, removed_bytes): the text without the sentences in ``ranges``."""
+        """(row, text, n_sentences, n_removed, removed_bytes): the text without the units in ``ranges``."""
         for batch in batches:
             rows, texts, ranges = columns(batch, "row", "text", "ranges")
-            out, counts, removed, lost = [], [], [], []
-            for text, found in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
-                raw = _raw(text)
-                starts = sentences(raw, long_sentence)[0] if raw else []
-                cut = list(pairwise([*starts, len(raw or b"")]))
-                gone = np.zeros(len(cut), bool)
-                for r in found or []:
-                    gone[r["a"] : r["b"]] = True
-                if gone.any():
-                    text = b"".join(raw[a:b] for (a, b), g in zip(cut, gone, strict=True) if not g).decode("utf-8", "surrogatepass")
-                out.append(text)
-                counts.append(len(cut))
-                removed.append(int(gone.sum()))
-                lost.append(sum(b - a for (a, b), g in zip(cut, gone, strict=True) if g))
+            out, found = texts.to_pylist(), ranges.to_pylist()
+            raws = [_raw(t) for t in out]
+            counts, removed, lost = [], [0] * len(out), [0] * len(out)
+            for at, held in _parts(raws):
+                u = _units(held, window)
+                counts += [max(int(n), int(len(x) > 0)) for n, x in zip(np.diff(u.bounds), held, strict=True)]
+                for k, raw in enumerate(held, at):
+                    if not found[k]:
+                        continue
+                    start = np.append(u.start[u.bounds[k - at] : u.bounds[k - at + 1]], len(raw))
+                    gone = np.zeros(len(start) + 1, np.int8)
+                    for r in found[k]:
+                        gone[r["a"] + 1 : r["b"] + 1] = 1
+                    edges = np.diff(gone)  # of the removed stretches
+                    a, b = start[np.flatnonzero(edges == 1)], start[np.flatnonzero(edges == -1)]
+                    out[k] = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)])).decode("utf-8", "surrogatepass")
+                    removed[k], lost[k] = int(gone.sum()), int((b - a).sum())
             numbers = [pa.array(x, pa.int64()) for x in (counts, removed, lost)]
             yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string()), *numbers], ["row", "text", "n_sentences", "n_removed", "removed_bytes"])
 
     return cleaned
 
 
-def repeated_ranges(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, long_sentence: int = 24) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """(doc_id, text_key, ranges): the sentence ranges of each document that repeat an earlier one."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = own.mapInArrow(_find(long_sentence, min_sentences, min_words), _SPANS)
-    placed = found.repartition("key1").withColumn("at_id", F.coalesce("doc_id", F.lit(_NO_ID))).sortWithinPartitions("key1", "key2", "known", "at_id", "text_key", "a")
+    found = own.mapInArrow(_find(window, min_sentences, min_words), _SPANS)
+    placed = found.repartition("key1").withColumns({"at_id": F.coalesce("doc_id", F.lit(_NO_ID)), "known": F.col("at") < 0}).sortWithinPartitions("key1", "key2", "known", "at_id", "text_key", "at")
     later = placed.mapInArrow(_later, "doc_id long, text_key long, a int, b int")
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
-def _apply(docs: DataFrame, long_sentence: int, **options) -> DataFrame:
+def _apply(docs: DataFrame, window: int, **options) -> DataFrame:
     """(row, text, n_sentences, n_removed, removed_bytes); ``row`` is the whole row as it was.
 
     Rows are kept together as one value, so that no column of theirs can clash with one of ours.
     """
-    ranges = materialize(repeated_ranges(docs, long_sentence=long_sentence, **options), "repeats")
+    ranges = materialize(repeated_ranges(docs, window=window, **options), "repeats", release=True)
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = rows.schema["row"]
     keyed = rows.mapInArrow(_with_key, T.StructType([*rows.schema.fields, T.StructField("text_key", T.LongType())]))
     joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["doc_id"]) & (keyed["text_key"] == ranges["text_key"]), "left").select("row", "text", "ranges")
     numbers = [T.StructField(n, T.LongType()) for n in ("n_sentences", "n_removed", "removed_bytes")]
-    return joined.mapInArrow(_cleaned(long_sentence), T.StructType([kind, T.StructField("text", T.StringType()), *numbers]))
+    return joined.mapInArrow(_cleaned(window), T.StructType([kind, T.StructField("text", T.StringType()), *numbers]))
 
 
-def span_dedup(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, long_sentence: int = 24) -> DataFrame:
+def span_dedup(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the cleaned text, n_sentences, n_removed, removed_bytes."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = _apply(own, long_sentence, min_sentences=min_sentences, min_words=min_words)
+    found = _apply(own, window, min_sentences=min_sentences, min_words=min_words)
     return found.select("row.doc_id", "text", "n_sentences", "n_removed", "removed_bytes")
 
 
-def remove_repeats(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, long_sentence: int = 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """The rows of ``docs``, all their columns, with repeated sentences removed from ``text``."""
-    found = _apply(docs, long_sentence, min_sentences=min_sentences, min_words=min_words)
+    found = _apply(docs, window, min_sentences=min_sentences, min_words=min_words)
     return found.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -206,6 +206,46 @@ def test_span_dedup(spark):
     assert got == brute_spans(rows)
 
 
+def test_span_dedup_of_unaligned_passages(spark):
+    """Passages of 51 words that begin and end within sentences, against the words of the later texts' own."""
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join(f"u{rng.randrange(10**7)}" + rng.choice([""] * 14 + [".", ","]) for _ in range(n)).split()
+
+    rows, own = [], {}
+    for k in range(60):
+        passage = prose(51)
+        for doc in (k, 1000 + k):
+            before, after = prose(60), prose(60)
+            rows.append((doc, " ".join([*before, *passage, *after])))
+            own[doc] = before, passage, after
+    got = {r.doc_id: r.text for r in span_dedup(frame(spark, rows)).collect()}
+    for doc, text in rows:
+        before, passage, after = own[doc]
+        if doc < 1000:
+            assert got[doc] == text
+        else:
+            left = got[doc].split()
+            assert left[: len(before)] == before and left[-len(after) :] == after
+            assert len(left) - len(before) - len(after) <= 11
+
+
+def test_units_are_short_and_local():
+    rng = random.Random(9)
+    passage = words(rng, 200, 10**6)
+    cuts = []
+    for _ in range(20):
+        before, after = words(rng, 50, 10**6) + " ", " " + words(rng, 50, 10**6)
+        starts, counts, digests = sentences((before + passage + after).encode())
+        assert max(counts) <= 6 and len(starts) == len(counts) == len(digests)
+        cuts.append({x - len(before) for x in starts if 0 <= x - len(before) < len(passage)})
+    inner = passage.split(" ")
+    low, high = len(" ".join(inner[:6])) + 1, len(" ".join(inner[:-5]))
+    assert len({frozenset(x for x in c if low <= x <= high) for c in cuts}) == 1
+    assert sentences(b" \n ") == ([0], [0], sentences(b" ")[2]) and sentences(b"") == ([], [], [])
+
+
 def test_span_dedup_edges(spark, edge_rows):
     got = span_dedup(frame(spark, edge_rows)).collect()
     assert len(got) == len(edge_rows)
