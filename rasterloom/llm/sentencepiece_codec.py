@@ -260,7 +260,7 @@ def _encode(model: str):
                     end += 1
                 part = own.encode_many(texts[at:end])
                 back = list(map(own.decode_raw, part))
-                own.check(texts[at : at + 1], part[:1], back[:1])
+                own.check(texts[at:end], part, back)
                 counts += [len(raw) // 4 for raw in part]
                 shas += [hashlib.sha256(raw).hexdigest() for raw in part]
                 decoded_shas += [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back]

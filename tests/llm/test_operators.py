@@ -322,6 +322,19 @@ def test_sentencepiece_difference_is_an_error():
         own.check(["abc"], [own.encode("abd")], ["abc"])
 
 
+def test_sentencepiece_checks_every_text(monkeypatch):
+    """A difference in any text of a part is an error, not only in its first."""
+    import pyarrow as pa
+
+    from rasterloom.llm.sentencepiece_codec import PieceCodec, _encode
+
+    right, other = PieceCodec.encode_many, codec(PIECES).encode("other")
+    monkeypatch.setattr(PieceCodec, "encode_many", lambda self, texts: [*right(self, texts)[:-1], other])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["one", "two", "three"])], ["doc_id", "text"])
+    with pytest.raises(ValueError):
+        list(_encode(PIECES)(iter([batch])))
+
+
 def test_token_counts(spark, edge_rows, real):
     from tokenizers import Tokenizer
 
