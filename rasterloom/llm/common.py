@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made.
+    It is the session's ``spark.checkpoint.dir``, else the context's checkpoint folder. Where neither is
+    set, a local master (tests on one machine) gets a temporary folder, and a cluster an error: a folder
+    of each machine's own would lose rows.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
@@ -42,30 +49,43 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, *, release: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Lineage ends there: a lost executor costs a read of the table, no recomputation. Values
-    which are not functions of the row alone (row numbers) are fixed from then on. Tables are
-    deleted when the session ends or by ``cleanup``. With ``release`` Spark deletes the shuffle
-    files of the write as it ends; else they stay until the driver's JVM collects its garbage.
+    which are not functions of the row alone (row numbers) are fixed from then on. Spark deletes the
+    shuffle files of the write as it ends. Tables are deleted by ``discard`` as soon as what needs them
+    has been written itself, else when the session ends or by ``cleanup``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
-    if release:
-        spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if release:
-            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     app = spark.sparkContext.applicationId
     if app not in _TABLES:
         _TABLES[app] = []
         atexit.register(cleanup, spark)
     _TABLES[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no plan yet to be run reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df.scratch_path
+        _TABLES[spark.sparkContext.applicationId].remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -85,12 +105,10 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote in this session."""
+    """Delete the tables that ``materialize`` wrote in this session and that are still there."""
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _TABLES.pop(spark.sparkContext.applicationId, []):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
     except Exception:  # noqa: BLE001  the session has ended; the shared folder is the cluster's to clear
         return
 

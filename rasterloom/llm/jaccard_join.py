@@ -13,43 +13,48 @@ result. A document whose possible larger partners reach the next band is entered
 The sketch has ``2**64`` bits and is kept sparsely; a piece's signature is the XOR of its
 positions' hashes.
 
-Verification. Pieces that several documents share make buckets. A first round verifies each
-document against one bucket leader only, and equal sets are one class from the start, which
-links most of what belongs together with one comparison a document. Further rounds take the
-buckets that still hold several components and compare, in blocks, every pair from different
-components by folded sketches. Of the pairs whose Hamming distance allows a link, each component
+Verification. Pieces that several documents share make buckets. Equal sets are one node, the first
+of them, and only such nodes are compared. A first round verifies each node against the leader of
+the bucket kind it shares most, which links most of what belongs together with one comparison a
+node. Further rounds take the buckets that still hold several components. There, nodes outside the
+bucket's largest component visit all of its nodes, dealt in blocks of a bounded size, and folded
+sketches are compared as matrices. Of the pairs whose Hamming distance allows a link, each component
 of a block sends its nearest few to be verified on the shingle sets; what links leaves no more to
-do inside a component, and the next round sends eight times as many. The last round is one in
-which no pair was held back. So a pair across components is never skipped, and large groups of
-near copies grow together without all their pairs.
+do inside a component. A bucket that held pairs back comes again in the next round and sends eight
+times as many; one that held none back is done. So a pair across components is never skipped, and
+large groups of near copies grow together without all their pairs.
+
+Scratch tables are deleted as soon as they have been read for the last time. A text is read twice,
+and shuffled once, where its set is needed for verification; sets never come to the driver.
 
 Edge cases: a null or blank text has no shingles and its own class. Null ``doc_id``s take part;
 a class is named by its least non-null id. Rows repeated with one ``doc_id`` are separate
-documents. Extra columns are ignored.
+documents. Extra columns are ignored by ``similar_classes`` and kept by ``keep_one_of_each``.
+An empty table has no classes.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, flat_list, materialize, mix
+from .common import columns, discard, flat_list, materialize, mix
 from .components import components
 from .shingles import WordHashes, shingle_runs, shingle_set, words_of
 
 _SLOT_BITS = 22
 _SLOTS = 1 << _SLOT_BITS
 _SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
-_BLOCK = 512
-_BROADCAST_ROWS = 50_000
+_BLOCK = 512  # nodes of a bucket that are compared at once
+_VISITORS = 4096  # and others that visit them
+_PAIRS = 1 << 20
 _EMPTY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -107,25 +112,40 @@ def _heavy_slots(width: int):
                 hashes.trim()
             if parts:
                 total += np.bincount(np.concatenate(parts).astype(np.int64), minlength=_SLOTS)
-        at = np.flatnonzero(total > 4 * total.mean() + 2)
+        at = np.flatnonzero(total > 2 * total.mean() + 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
     return count
 
 
-_SKETCHED = "uid long, doc_id long, n_shingles int, set_key binary, folded binary, pieces array<long>"
+def _heavy(texts: DataFrame, width: int) -> np.ndarray:
+    """For each slot of hashed shingles a byte that rises with its use; 0 for those used like most.
+
+    Its size is fixed. It only orders pieces, so leaving slots out costs candidates, never a link.
+    """
+    slots = materialize(texts.mapInArrow(_heavy_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    total = slots.agg(F.sum("n")).first()[0] or 0
+    used = slots.filter(F.col("n") > 4 * total / _SLOTS).select("slot", F.ceil(F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toArrow()
+    discard(slots)
+    heavy = np.zeros(_SLOTS, np.uint8)
+    heavy[used["slot"].to_numpy()] = used["level"].to_numpy()
+    return heavy
+
+
+_SKETCHED = "uid long, doc_id long, key1 long, key2 long, n_shingles int, set_key binary, folded binary, pieces array<long>"
 
 
-def _sketch(width: int, heavy: np.ndarray, limit: Threshold):
+def _sketch(width: int, heavy, limit: Threshold):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, hashes, seen = TaskContext.get().partitionId() << 33, WordHashes(), set()
+        used: np.ndarray = heavy.value
         for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
+            ids, key1, key2, texts = columns(batch, "doc_id", "key1", "key2", "text")
             sizes, keys, folds, parts, lengths = [], [], [], [], []
             for text in texts.to_pylist():
                 own = shingle_set(words_of(text), hashes, width)
                 hashes.trim()
-                key = xxhash.xxh3_128_digest(own)
+                key = xxhash.xxh3_128_digest(own) if len(own) else None
                 sizes.append(len(own))
                 keys.append(key)
                 if not len(own) or key in seen:  # copies within the task need no pieces of their own
@@ -134,15 +154,15 @@ def _sketch(width: int, heavy: np.ndarray, limit: Threshold):
                     continue
                 seen.add(key)
                 band = len(own).bit_length() - 1
-                got = [_pieces(own, band, heavy, limit)]
+                got = [_pieces(own, band, used, limit)]
                 if limit.partner(len(own)) >= 2 << band:
-                    got.append(_pieces(own, band + 1, heavy, limit))
+                    got.append(_pieces(own, band + 1, used, limit))
                 parts += got
                 lengths.append(sum(map(len, got)))
                 folds.append(_folded(own, band))
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(folds, pa.binary()), flat_list(flat, lengths, pa.int64())], [f.split()[0] for f in _SKETCHED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), ids, key1, key2, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(folds, pa.binary()), flat_list(flat, lengths, pa.int64())], [f.split()[0] for f in _SKETCHED.split(", ")])
             uid += n
 
     return sketch
@@ -199,16 +219,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingle sets of rows (uid, set_key, text); another row's text under the same id is left out."""
-        hashes = WordHashes()
+        """The shingle sets of rows (uid, text); a row that is there again under the same uid is left out."""
+        hashes, done = WordHashes(), set()
         for batch in batches:
-            uid, key, text = columns(batch, "uid", "set_key", "text")
+            uid, text = columns(batch, "uid", "text")
             ids, out = [], []
-            for u, k, t in zip(uid.to_pylist(), key.to_pylist(), text.to_pylist(), strict=True):
-                own = shingle_set(words_of(t), hashes, width)
-                if xxhash.xxh3_128_digest(own) == k:
+            for u, t in zip(uid.to_pylist(), text.to_pylist(), strict=True):
+                if u not in done:
+                    done.add(u)
                     ids.append(u)
-                    out.append(own.tobytes())
+                    out.append(shingle_set(words_of(t), hashes, width).tobytes())
             hashes.trim()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["uid", "shingles"])
 
@@ -228,7 +248,7 @@ def _verify(limit: Threshold):
                     owner, own = x, got
                     continue
                 if x != owner:
-                    continue
+                    raise ValueError("a pair without the first one's set")
                 small, large = (got, own) if len(got) < len(own) else (own, got)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
@@ -240,177 +260,283 @@ def _verify(limit: Threshold):
     return verify
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-
-
 class _Sets:
-    """Shingle sets of the documents asked for so far; texts are read again only for others."""
+    """Shingle sets of the nodes asked for so far; texts are read again only for others."""
 
     def __init__(self, docs: DataFrame, sketched: DataFrame, width: int):
         self._docs, self._sketched, self._width = docs, sketched, width
-        self.table: DataFrame | None = None
-
-    def add(self, wanted: DataFrame) -> DataFrame:
-        """The sets, those of ``wanted(uid)`` among them."""
-        lacking = wanted if self.table is None else wanted.join(self.table.select("uid"), "uid", "left_anti")
-        keyed = materialize(self._sketched.join(lacking, "uid", "left_semi").select("uid", F.col("doc_id").alias("__id"), "set_key"), "wanted")
-        n = 0 if self.table is None else keyed.count()
-        if self.table is None or n:
-            side = F.broadcast(keyed) if 0 < n <= _BROADCAST_ROWS else keyed.hint("shuffle_hash")
-            found = self._docs.join(side, self._docs["doc_id"].eqNullSafe(side["__id"])).select("uid", "set_key", "text")
-            new = materialize(found.mapInArrow(_sets(self._width), "uid long, shingles binary"), "sets")
-            self.table = new if self.table is None else self.table.union(new)
-        return self.table
+        self._parts: list[DataFrame] = []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """The sets, those of ``pairs(a, b)`` among them."""
+        wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+        for part in self._parts:
+            wanted = wanted.join(part.select("uid"), "uid", "left_anti")
+        keyed = materialize(self._sketched.join(wanted, "uid", "left_semi").select("uid", "key1", "key2"), "wanted")
+        if not keyed.isEmpty():
+            found = self._docs.select("key1", "key2", "text").join(keyed.hint("shuffle_hash"), ["key1", "key2"]).select("uid", "text")
+            self._parts.append(materialize(found.mapInArrow(_sets(self._width), "uid long, shingles binary"), "sets"))
+        discard(keyed)
+        out = self._parts[0]
+        for part in self._parts[1:]:
+            out = out.union(part)
+        return out
+
+    def discard(self) -> None:
+        discard(*self._parts)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough; a hub's partners are dealt out by salt."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
+    degree = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts")), "degrees")
     hubs = degree.join(sets, degree["a"] == sets["uid"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
     members = pairs.join(degree, "a").join(sets, F.col("b") == F.col("uid")).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b", "shingles")
     dealt = hubs.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(_verify(limit), "a long, b long")
-
-
-def _narrowed(sketch: int, bits: int, to: int) -> int:
-    """A sketch as a whole number, folded by XOR to fewer bits."""
-    while bits > to:
-        bits //= 2
-        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
-    return sketch
-
+    links = materialize(dealt.mapInArrow(_verify(limit), "a long, b long"), "links")
+    discard(degree)
+    return links
+
+
+class _Sketches:
+    """The folded sketches of some rows, as one matrix for each width."""
+
+    def __init__(self, folded: pa.Array):
+        self.width = pc.binary_length(folded).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.place = np.zeros(len(self.width), np.int64)
+        self._own: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self._own[w] = np.frombuffer(b"".join(folded.take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, w)
+
+    def _rows(self, width: int, to: int, at: np.ndarray) -> np.ndarray:
+        rows = self._own[width][self.place[at]]
+        while rows.shape[1] > to:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Hamming distances of the sketches of rows ``x`` and ``y``, the wider folded to the narrower."""
+        out = np.zeros(len(x), np.int64)
+        kinds = self.width[x] << 32 | self.width[y]
+        for kind in np.unique(kinds).tolist():
+            w, v = kind >> 32, kind & 0xFFFFFFFF
+            to = min(w, v)
+            at = np.flatnonzero(kinds == kind)
+            step = max(1, (1 << 23) // max(w, v))
+            for k in range(0, len(at), step):
+                own = at[k : k + step]
+                differ = self._rows(w, to, x[own]) ^ self._rows(v, to, y[own])
+                out[own] = np.bitwise_count(differ.view(np.uint64)).sum(axis=1)
+        return out
+
+
+_NEAR = "a long, b long, held long"
 
-def _near_in_run(limit: Threshold, same: bool, rows: list[tuple[int, int, int, int, bytes]], most: int) -> tuple[set[tuple[int, int]], bool]:
-    """Pairs of a run's (n, uid, component, block, sketch) from different components, near enough by sketch.
 
-    At most ``most`` for each component, the nearest; and whether others were held back.
-    """
-    rows.sort()
-    sizes = [r[0] for r in rows]
-    sketches = [(int.from_bytes(r[4], "little"), 8 * len(r[4])) for r in rows]
+def _near(limit: Threshold, most: int):
     over, under = limit.den - limit.num, limit.den + limit.num
-    nearest: dict[int, list] = {}
-    count = 0
-    for k, (n, uid, component, block, _) in enumerate(rows):
-        own, bits = sketches[k]
-        for m in range(k + 1, bisect_right(sizes, limit.partner(n), k + 1)):
-            n2, uid2, component2, block2, _ = rows[m]
-            if component2 != component and (same or block2 != block):
-                other, bits2 = sketches[m]
-                if bits2 > bits:
-                    other = _narrowed(other, bits2, bits)
-                apart = (own ^ other).bit_count()
-                if apart * under <= (n + n2) * over:
-                    count += 1
-                    entry = (-apart / (n + n2), (uid, uid2) if uid < uid2 else (uid2, uid))
-                    for c in (component, component2):
-                        heap = nearest.setdefault(c, [])
-                        if len(heap) < most:
-                            heappush(heap, entry)
-                        elif entry > heap[0]:
-                            heapreplace(heap, entry)
-    found = {pair for heap in nearest.values() for _, pair in heap}
-    return found, len(found) < count
-
 
-def _near(limit: Threshold, most: int):
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by (piece, i, j): the near pairs of each such block, once a batch.
+    def compared(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The near pairs of whole runs: of each visitor with the nodes of its run from other components.
 
-        The pair (-1, -1) tells that others were held back.
+        At most ``most`` for each component and run, the nearest; ``held`` names the pieces that hold back others.
         """
-        run, key = [], None
-
-        def end_of_run(found: set[tuple[int, int]]) -> None:
-            if len(run) > 1:
-                pairs, more = _near_in_run(limit, key[1] == key[2], run, most)
-                found.update(pairs)
-                if more:
-                    found.add((-1, -1))
+        piece, block, group, n, uid, component, main, visits, stays = (x.to_numpy(zero_copy_only=False) for x in columns(rows, "piece", "i", "j", "n", "uid", "component", "main", "visits", "stays"))
+        n = n.astype(np.int64)
+        new = (np.diff(piece, prepend=piece[0] ^ 1) != 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
+        run = np.cumsum(new) - 1
+        sketches = _Sketches(columns(rows, "folded")[0])
+        home, guest = np.flatnonzero(stays), np.flatnonzero(visits)
+        homes = np.bincount(run[home], minlength=run[-1] + 1)
+        first = np.cumsum(homes) - homes
+        pairs = homes[run[guest]]
+        parts = np.cumsum(pairs) // _PAIRS
+        for part in np.unique(parts):
+            own = guest[parts == part]
+            count = homes[run[own]]
+            x = np.repeat(own, count)
+            y = home[np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[run[own]], count)]
+            once = (component[y] == main[y]) | (uid[x] < uid[y])  # two visitors meet twice
+            good = once & (component[x] != component[y]) & (limit.den * np.minimum(n[x], n[y]) >= limit.num * np.maximum(n[x], n[y]))
+            x, y = x[good], y[good]
+            apart = sketches.apart(x, y)
+            good = apart * under <= (n[x] + n[y]) * over
+            x, y, apart = x[good], y[good], apart[good]
+            if not len(x):
+                continue
+            pair = np.tile(np.arange(len(x)), 2)
+            side = np.concatenate([component[x], component[y]])
+            order = np.lexsort((uid[y][pair], uid[x][pair], (apart / (n[x] + n[y]))[pair], side, run[x][pair]))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (side[order][1:] != side[order][:-1]) | (run[x][pair][order][1:] != run[x][pair][order][:-1])
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+            sent = np.zeros(len(x), bool)
+            sent[pair[order][place < most]] = True
+            held = np.unique(piece[x[~sent]])
+            a, b = np.minimum(uid[x], uid[y])[sent], np.maximum(uid[x], uid[y])[sent]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "held"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(held)], ["a", "b", "held"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by (piece, i, j); the last run of a batch waits for the next."""
+        waiting: list[pa.RecordBatch] = []
+        key = None
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            names = ("piece", "i", "j", "n", "uid", "component", "block", "folded")
-            for piece, i, j, *row in zip(*(x.to_pylist() for x in columns(batch, *names)), strict=True):
-                if (piece, i, j) != key:
-                    end_of_run(found)
-                    run, key = [], (piece, i, j)
-                run.append(tuple(row))
-            yield _pairs(found)
-        found = set()
-        end_of_run(found)
-        yield _pairs(found)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([x.to_numpy().astype(np.int64) for x in columns(batch, "piece", "i", "j")], axis=1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            if waiting and (keys[0] != key).any():
+                yield from compared(pa.concat_batches(waiting))
+                waiting = []
+            if len(cut):
+                yield from compared(pa.concat_batches([*waiting, batch.slice(0, int(cut[-1]) + 1)]))
+                waiting, batch = [], batch.slice(int(cut[-1]) + 1)
+            waiting.append(batch)
+            key = keys[-1]
+        if waiting:
+            yield from compared(pa.concat_batches(waiting))
 
     return near
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _met(members: DataFrame, owner: DataFrame, folded: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, dealt so that every visitor meets every node.
 
-
-def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
-
-    ``width`` words make a shingle; ``similarity`` is a fraction (of at least a half).
+    ``i`` numbers the blocks of a bucket's nodes, ``j`` the groups of its visitors. In a bucket of one
+    block and one group a row has both parts.
     """
-    limit = Threshold(*similarity)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slots = docs.select("text").mapInArrow(_heavy_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most _SLOTS rows
-    heavy = np.zeros(_SLOTS, np.uint8)
-    for slot, n in slots:
-        heavy[slot] = int(n).bit_length()
-    sketched = materialize(docs.mapInArrow(_sketch(width, heavy, limit), _SKETCHED), "sketches")
-
-    same = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("uid").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = materialize(sketched.select("uid", "set_key").join(same, "set_key").filter("uid <> b").select(F.col("uid").alias("a"), "b"), "copies")
-
-    entered = sketched.select(F.explode("pieces").alias("piece"), "uid", F.col("n_shingles").alias("n")).repartition("piece").sortWithinPartitions("piece", "uid")
+    placed = members.join(owner, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    parts = placed.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = parts.groupBy("piece").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("component", F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    mixed = materialize(mixed.select("piece", "main", F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks"), F.ceil((F.col("rows") - F.col("most")) / _VISITORS).cast("int").alias("groups")), "mixed")
+    rows = materialize(placed.join(mixed, "piece").join(folded, "uid"), "open-buckets")
+    discard(mixed)
+    block, group = F.pmod(F.xxhash64("uid"), "blocks").cast("int"), F.pmod(F.xxhash64("uid", F.lit(1)), "groups").cast("int")
+    at = lambda i, j, visits, stays: F.struct(i.alias("i"), j.alias("j"), visits.alias("visits"), stays.alias("stays"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    strange, yes, no = F.col("component") != F.col("main"), F.lit(True), F.lit(False)
+    stay = F.transform(each(F.col("groups")), lambda j: at(block, j, no, yes))
+    visit = F.when(strange, F.transform(each(F.col("blocks")), lambda i: at(i, group, yes, no))).otherwise(F.slice(F.array(at(block, group, no, no)), 1, 0))
+    places = F.when((F.col("blocks") == 1) & (F.col("groups") == 1), F.array(at(F.lit(0), F.lit(0), strange, yes))).otherwise(F.concat(stay, visit))
+    return rows, rows.withColumn("at", F.explode(places)).select("piece", "at.*", "n", "uid", "component", "main", "folded")
+
+
+def _classes(docs: DataFrame, width: int, limit: Threshold) -> DataFrame:
+    """A table ``uid, doc_id, key1, key2, n_shingles, component``: a row's class, null for rows linked with nothing.
+
+    ``docs``: doc_id, text and two keys of both.
+    """
+    spark = docs.sparkSession
+    heavy = spark.sparkContext.broadcast(_heavy(docs.select("text"), width))
+    wide = materialize(docs.mapInArrow(_sketch(width, heavy, limit), _SKETCHED), "sketches")
+    heavy.unpersist()
+    entered = wide.select(F.explode("pieces").alias("piece"), "uid", F.col("n_shingles").alias("n")).repartition("piece").sortWithinPartitions("piece", "uid")
     buckets = materialize(entered.mapInArrow(_shared, _SHARED), "buckets")
+    sketched = materialize(wide.drop("pieces"), "documents")
+    discard(wide)
 
+    # Equal sets: the first row stands for all.
+    same = materialize(sketched.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key", "node"), "equal-sets")
+    copies = materialize(sketched.select("uid", "set_key").join(same, "set_key").select("uid", "node"), "copies")
+    discard(same)
+    node_of = copies.filter("uid <> node")
+
+    # The first round: everything with the leader that it shares most pieces with.
     shared = buckets.filter("uid IS NOT NULL").drop("members")
     fits = limit.den * F.least("n", "leader_n") >= limit.num * F.greatest("n", "leader_n")
     led = shared.filter((F.col("uid") != F.col("leader")) & fits).groupBy("uid", "leader").agg(F.count(F.lit(1)).alias("times"))
-    first = materialize(led.groupBy("uid").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("uid").alias("b")), "first-pairs")
-    sets = _Sets(docs, sketched, width)
-    edges = materialize(_links(first, sets.add(_ends(first)), limit).union(copies), "links")
-    classes = materialize(components(edges), "classes")
+    led = led.groupBy("uid").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("x")).select(F.col("uid").alias("b"), (-F.col("x.l")).alias("a"))
+    for end in ("a", "b"):
+        led = led.join(node_of.select(F.col("uid").alias(end), "node"), end, "left").withColumn(end, F.coalesce("node", end)).drop("node")
+    first = materialize(led.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
 
-    # Buckets with the same members are one.
+    # Buckets with the same members are one; of a bucket's equal sets one is enough.
     whole = buckets.filter("uid IS NULL").groupBy("members", "n", "leader").agg(F.min("piece").alias("piece")).select("piece")
-    members = materialize(shared.select("piece", "uid", "n").join(whole, "piece", "left_semi"), "members")
+    members = shared.select("piece", "uid", "n").join(materialize(whole, "whole"), "piece").join(node_of, "uid", "left")
+    members = materialize(members.select("piece", F.coalesce("node", "uid").alias("uid"), "n").distinct(), "members")
+    discard(buckets)
+
+    sets = _Sets(docs, sketched, width)
+    tested, most = [first], 1
+    edges = [] if first.isEmpty() else [_links(first, sets.of(first), limit)]
+    classes = _grown(spark, edges)
     folded = sketched.select("uid", "folded").filter("folded IS NOT NULL")
-    tested, most, held_back = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1, True
-    while held_back:
-        placed = members.join(classes, F.col("uid") == F.col("node"), "left").select("piece", "uid", "n", F.coalesce("component", "uid").alias("component"))
-        mixed = placed.groupBy("piece").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-        open_rows = placed.join(mixed.select("piece", F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks")), "piece")
-        open_rows = materialize(open_rows.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")), "open-buckets")
-        if open_rows.isEmpty():
-            break
-        spread = open_rows.join(folded, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("piece", "uid", "n", "component", "block", "folded", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        near = materialize(spread.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j").mapInArrow(_near(limit, most), "a long, b long").distinct(), "near-pairs")
-        held_back = not near.filter("a < 0").isEmpty()
-        more = materialize(near.filter("a >= 0").join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    while True:
+        rows, met = _met(members, classes.select(F.col("node").alias("uid"), "component"), folded)
+        near = materialize(met.repartition("piece", "i", "j").sortWithinPartitions("piece", "i", "j").mapInArrow(_near(limit, most), _NEAR).distinct(), "near-pairs")
+        discard(rows)
+        more = near.filter("held IS NULL").select("a", "b")
+        for pairs in tested:
+            more = more.join(pairs, ["a", "b"], "left_anti")
+        more = materialize(more, "more-pairs")
+        held = materialize(near.filter("held IS NOT NULL").select(F.col("held").alias("piece")), "held")
         if not more.isEmpty():
-            edges = edges.union(materialize(_links(more, sets.add(_ends(more)), limit), "links"))
-            classes = materialize(components(edges), "classes")
-            tested = tested.union(more)
-        most *= 8
+            tested.append(more)
+            edges.append(_links(more, sets.of(more), limit))
+            if not edges[-1].isEmpty():
+                discard(classes)
+                classes = _grown(spark, edges)
+        again = None if held.isEmpty() else materialize(members.join(held, "piece", "left_semi"), "members")
+        discard(near, held, members)
+        if again is None:
+            break
+        members, most = again, most * 8
+    sets.discard()
+    discard(*tested, *edges)
 
-    rows = sketched.select("uid", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles")).join(classes, F.col("uid") == F.col("node"), "left")
-    rows = materialize(rows.select("doc_id", "n_shingles", "component"), "class-rows")
-    names = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+    named = classes.select("node", "component")
+    linked = copies.join(named, "node", "left").select("uid", F.coalesce("component", "node").alias("component"))
+    linked = linked.union(named.join(copies.select(F.col("uid").alias("node")), "node", "left_anti").select("node", "component"))
+    rows = materialize(sketched.select("uid", "doc_id", "key1", "key2", "n_shingles").join(linked, "uid", "left"), "class-rows")
+    discard(sketched, copies, classes)
+    return rows
+
+
+def _grown(spark, edges: list[DataFrame]) -> DataFrame:
+    found = spark.createDataFrame([], "a long, b long")
+    for part in edges:
+        found = found.union(part)
+    return components(found)
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """doc_id and text, with two 64-bit keys of them that tell rows apart."""
+    doc = docs["doc_id"].cast("long")
+    keys = [F.xxhash64(F.lit(k), doc.isNull(), doc, docs["text"].isNull(), docs["text"]).alias(f"key{k}") for k in (1, 2)]
+    return docs.select(doc.alias("doc_id"), docs["text"].alias("text"), *keys, *more)
+
+
+def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+
+    ``width`` words make a shingle; ``similarity`` is a fraction (of at least a half).
+    """
+    rows = _classes(_keyed(docs), width, Threshold(*similarity))
+    size = F.col("n_shingles").cast("long").alias("n_shingles")
+    linked = rows.filter("component IS NOT NULL")
+    names = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "class-names")
+    alone = rows.filter("component IS NULL").select("doc_id", size, F.col("doc_id").alias("component_id"))
+    return linked.join(names, "component").select("doc_id", size, "component_id").union(alone)
 
 
 def keep_one_of_each(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of ``docs``, all their columns, of which no other row of the class has a smaller ``doc_id``.
+    """One row of each class of ``docs``, with all its columns: that of the smallest ``doc_id``, nulls last.
 
-    Rows with a null ``doc_id`` stay only in classes without any other id. Among rows that repeat
-    one ``doc_id``, those in one class are left to exact deduplication and all stay.
+    Rows that repeat this id within the class are told apart by a hash of their texts; of equal ones one
+    stays. Rows without words stay.
     """
-    classes = similar_classes(docs, width=width, similarity=similarity)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    rows = _classes(_keyed(docs), width, Threshold(*similarity))
+    linked = rows.filter("component IS NOT NULL")
+    best = materialize(linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key1", "key2")).alias("best")), "class-best")
+    judged = linked.join(best, "component").withColumn("stays", (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2")))
+    judged = materialize(judged.groupBy("key1", "key2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")).filter("NOT stays OR times > 1"), "class-judged")
+    discard(rows, best)
+    whole = _keyed(docs, F.struct(*docs.columns).alias("row")).select("key1", "key2", "row")
+    kept = whole.join(judged.select("key1", "key2"), ["key1", "key2"], "left_anti")
+    again = judged.filter("stays")
+    if not again.isEmpty():
+        kept = kept.union(whole.join(again.select("key1", "key2"), ["key1", "key2"]).dropDuplicates(["key1", "key2"]))
+    return kept.select("row.*")
