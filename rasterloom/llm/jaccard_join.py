@@ -53,7 +53,7 @@ _SLOT_BITS = 22
 _SLOTS = 1 << _SLOT_BITS
 _SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
 _BLOCK = 512  # nodes of a bucket that are compared at once
-_VISITORS = 4096  # and others that visit them
+_VISITORS = 1024  # and others that visit them
 _PAIRS = 1 << 20
 _EMPTY = np.uint64(0xA24BAED4963EE407)
 
