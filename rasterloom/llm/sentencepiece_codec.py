@@ -11,9 +11,9 @@ again, so a worker keeps a bounded cache of their ids. The runs that a batch of
 merged together: those of one length are rows of a matrix of symbols, and of another with the
 rank of each pair, which is their agendas; a step merges the first best pair of every row.
 
-Every Arrow batch is checked against the sentencepiece library: each segment that was encoded
-for it, and its first whole text, both ways. A difference is an error, never a silent
-substitution. ``PieceCodec.check`` compares any whole texts.
+Every whole text of an Arrow batch is checked against the sentencepiece library, its ids and what
+they decode to, by ``piece_digests`` and ``encoded`` alike. A difference is an error, never a silent
+substitution. A model that normalises texts otherwise than by U+2581 therefore raises.
 
 Edge cases: null and empty texts have begin and end ids alone and decode to the empty text.
 Repeated rows are encoded each; null ``doc_id`` stays null; extra columns are ignored.
@@ -21,16 +21,18 @@ Repeated rows are encoded each; null ``doc_id`` stays null; extra columns are ig
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import groupby, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ from .common import columns
 MARK = "▁"
 _RUN = re.compile(r"\w+|\W+")
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHED = 300_000
+_ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_")  # what words mostly end with
+_CACHED = 400_000
 _SHORT = 48
 _ROWS_AT_ONCE = 20_000
 _TEXT_AT_ONCE = 8 << 20
@@ -76,7 +79,12 @@ class PieceCodec:
         self.pair_keys = keys[order]
         self.pair_ids = np.array(list(pairs.values()) or [0], np.int64)[order]
         self.pair_ranks = np.array([rank[self.scores[i]] for i in self.pair_ids.tolist()], np.int64) if pairs else np.array([_NEVER])
-        self.segments: dict[str, bytes] = {}
+        self.mark_id = self.ids.get(MARK, -1)
+        self.letters = np.full(0x110000, -1, np.int32)  # a code point's piece
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+        self.segments: dict[str, bytes] = {}  # ids of the segments, by what follows the mark
         self.older: dict[str, bytes] = {}  # the segments before, until there are enough new ones
 
     def merge(self, segment: str) -> list[int]:
@@ -118,28 +126,28 @@ class PieceCodec:
                         heappush(agenda, (-scores[found], a, b, len(pair)))
         return symbols
 
-    def merge_many(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids, little-endian in 32 bits, of many runs."""
+    def merge_many(self, runs: set[str], front: str) -> dict[str, bytes]:
+        """Ids, little-endian in 32 bits, of many runs, each with ``front`` (the mark or nothing) before it."""
         out: dict[str, bytes] = {}
-        by_length: dict[int, list[str]] = {}
-        for run in runs:
-            if len(run) > _SHORT:
-                out[run] = array("I", self.merge(run)).tobytes()
+        for length, group in groupby(sorted(runs, key=len), len):
+            if length > _SHORT or not length:
+                out.update([(run, array("I", self.merge(front + run)).tobytes()) for run in group])
             else:
-                by_length.setdefault(len(run), []).append(run)
-        for length, group in by_length.items():
-            for at in range(0, len(group), _ROWS_AT_ONCE):
-                self._merge_rows(group[at : at + _ROWS_AT_ONCE], length, out)
+                for rows in iter(lambda: list(islice(group, _ROWS_AT_ONCE)), []):
+                    out.update(zip(rows, self._merge_rows(rows, length, front)))
         return out
 
-    def _merge_rows(self, runs: list[str], length: int, out: dict[str, bytes]) -> None:
+    def _merge_rows(self, runs: list[str], length: int, front: str) -> list[bytes]:
+        """``merge`` of runs of one length."""
+        out: list[bytes] = [b""] * len(runs)
         points = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
-        letters, places = np.unique(points, return_inverse=True)
-        known = np.array([self.ids.get(chr(c), -1) for c in letters.tolist()], np.int64)
-        symbols = known[places].reshape(len(runs), length)
-        rows = np.flatnonzero((symbols >= 0).all(axis=1))
-        for k in np.flatnonzero((symbols < 0).any(axis=1)).tolist():  # with bytes' pieces
-            out[runs[k]] = array("I", self.merge(runs[k])).tobytes()
+        symbols = self.letters[points].reshape(len(runs), length).astype(np.int64)
+        if front:
+            symbols = np.concatenate([np.full((len(runs), 1), self.mark_id), symbols], axis=1)
+        strange = (symbols < 0).any(axis=1)
+        for k in np.flatnonzero(strange).tolist():  # with bytes' pieces
+            out[k] = array("I", self.merge(front + runs[k])).tobytes()
+        rows = np.flatnonzero(~strange)
         symbols = symbols[rows]
         ranks, merged = self._pairs(symbols[:, :-1], symbols[:, 1:])
         while len(rows):
@@ -148,7 +156,7 @@ class PieceCodec:
             live = ranks[np.arange(len(rows)), best] < _NEVER if width > 1 else np.zeros(len(rows), bool)
             done = symbols[~live].astype("<u4").tobytes()
             for n, k in enumerate(rows[~live].tolist()):
-                out[runs[k]] = done[4 * width * n : 4 * width * (n + 1)]
+                out[k] = done[4 * width * n : 4 * width * (n + 1)]
             rows, best, symbols, ranks, merged = rows[live], best[live], symbols[live], ranks[live], merged[live]
             if not len(rows):
                 break
@@ -162,6 +170,7 @@ class PieceCodec:
                 ok = (near >= 0) & (near < width - 2)
                 r, c = each[ok], near[ok]
                 ranks[r, c], merged[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+        return out
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank, ``_NEVER`` if there is none, and piece of pairs of symbols."""
@@ -173,26 +182,23 @@ class PieceCodec:
 
     def add(self, keys: set[str]) -> None:
         """Encode the segments (U+2581 + key) that the cache lacks, all at once."""
-        cut: dict[str, list[str]] = {}
-        for key in keys:
-            runs = [key] if key.isalnum() else _RUN.findall(key)
-            if len(runs) < 2 or not all([a[-1] + b[0] not in self.borders for a, b in pairwise(runs)]):
-                runs = [key]
-            cut[key] = [MARK + runs[0], *runs[1:]]
-        own = self.merge_many(list({r for runs in cut.values() for r in runs}))
-        for key, runs in cut.items():
-            self.segments[key] = own[runs[0]] if len(runs) == 1 else b"".join([own[r] for r in runs])
-        self.check_segments(list(cut))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts with begin and end, little-endian in 32 bits."""
-        parts = []
-        for text in texts:
-            keys = text.replace(" ", MARK).split(MARK) if text else []
-            if "" in keys:  # runs of several marks belong to one segment
-                keys = [s[1:] for s in _SEGMENT.findall(MARK + MARK.join(keys))]
-            parts.append(keys)
-        wanted = set(chain.from_iterable(parts))
+        plain, cut, tails = {k for k in keys if k.isalnum()}, [], set()
+        for key in keys - plain:
+            runs = _RUN.findall(key)
+            if len(runs) > 1 and all([a[-1] + b[0] not in self.borders for a, b in pairwise(runs)]):
+                cut.append((key, runs))
+                if runs[0] not in self.segments:
+                    plain.add(runs[0])
+                tails.update(runs[1:])
+            else:
+                plain.add(key)
+        self.segments.update(self.merge_many(plain, MARK))
+        ends, ids = self.merge_many(tails, ""), self.segments
+        for key, runs in cut:
+            ids[key] = b"".join([ids[runs[0]], *[ends[r] for r in runs[1:]]])
+
+    def _hold(self, wanted: set[str]) -> None:
+        """Have the segments of ``wanted`` in the cache."""
         lacking = wanted.difference(self.segments)
         if len(self.segments) + len(lacking) > _CACHED:
             self.older, self.segments = self.segments, {}
@@ -200,8 +206,59 @@ class PieceCodec:
         kept = lacking.intersection(self.older)
         self.segments.update([(k, self.older[k]) for k in kept])
         self.add(lacking - kept)
-        get = self.segments.__getitem__  # all there: a generation is put away before the batch is added
-        return [b"".join([self._begin, *map(get, keys), self._end]) for keys in parts]
+
+    def _cut(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Keys without the up to four symbols that they end with, and those, packed; only at a border without pieces."""
+        body = pc.utf8_rtrim(keys, _ENDS)
+        size, kept = (pc.binary_length(x).to_numpy() for x in (keys, body))
+        offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset :][: len(keys)]
+        data = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+        ends = np.where((kept > 0) & (size - kept <= 4), size - kept, 0)
+        packed = np.zeros(len(keys), np.int64)
+        for j in range(4):
+            at = np.flatnonzero(ends > j)
+            packed[at] |= data[offsets[at] + kept[at] + j].astype(np.int64) << (8 * j)
+        last = pc.utf8_slice_codeunits(body, -1).dictionary_encode()
+        pairs, which = np.unique(last.indices.to_numpy().astype(np.int64) << 8 | packed & 255, return_inverse=True)
+        letters = last.dictionary.to_pylist()
+        free = np.array([bool(x & 255) and letters[x >> 8] + chr(x & 255) not in self.borders for x in pairs.tolist()], bool)[which]
+        packed[~free] = 0
+        return pc.if_else(pa.array(free), body, keys), packed
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts with begin and end, little-endian in 32 bits.
+
+        Texts are split and their segments numbered in Arrow, so Python sees each different one once,
+        and without the punctuation that it ends with.
+        """
+        column = pa.array(texts, pa.large_string())
+        if any(MARK in t for t in texts):
+            column = pc.replace_substring(column, MARK, " ")
+        split = pc.split_pattern(column, " ")
+        ends, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        body, packed = self._cut(coded.dictionary)
+        bodies = body.dictionary_encode()
+        keys = bodies.dictionary.to_pylist()
+        empty = (pc.binary_length(coded.dictionary).to_numpy() == 0)[coded.indices.to_numpy()]
+        gaps = np.diff(np.concatenate([[0], np.cumsum(empty)])[ends])  # runs of several marks belong to one segment
+        odd = {k: [x[1:] for x in _SEGMENT.findall(MARK + texts[k].replace(" ", MARK))] for k in np.flatnonzero(gaps).tolist() if texts[k]}
+        self._hold(set(keys).union(*odd.values()))
+        get = self.segments.__getitem__
+        symbols, symbol = np.unique(packed, return_inverse=True)
+        tails = [int(x).to_bytes(4, "little").rstrip(b"\0").decode() for x in symbols.tolist()]
+        found = self.merge_many(set(tails) - {""}, "")
+        raw = [get(k) if k else b"" for k in keys] + [found[t] if t else b"" for t in tails]
+        size = np.array(list(map(len, raw)), np.int64) // 4
+        start = np.cumsum(size) - size
+        parts = np.stack([bodies.indices.to_numpy().astype(np.int64), symbol + len(keys)], axis=1)[coded.indices.to_numpy()].ravel()
+        own = size[parts]
+        place = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start[parts] - place[:-1], own) + np.arange(place[-1])].tobytes()
+        bounds = (4 * place[2 * ends]).tolist()
+        out = [b"".join([self._begin, ids[x:y], self._end]) for x, y in pairwise(bounds)]
+        for k, cut in odd.items():
+            out[k] = b"".join([self._begin, *map(get, cut), self._end])
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of one text, as ``encode_many`` gives them."""
@@ -222,22 +279,13 @@ class PieceCodec:
         """Compare whole texts' ids, and what they decode to, with the library; a difference is an error."""
         if not texts:
             return
-        theirs = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        theirs = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1, return_type="numpy")
         for text, own, lib in zip(texts, ids, theirs, strict=True):
-            if memoryview(own).cast("I").tolist() != lib:
+            if lib.astype("<i4", copy=False).tobytes() != own:
                 raise ValueError(f"encoding differs from the library's in {text[:80]!r}")
         if self.library.decode(theirs, num_threads=1) != decoded:
             raise ValueError("decoding differs from the library's")
 
-    def check_segments(self, keys: list[str]) -> None:
-        """Compare the cache's segments with the library, many of them as one text, which takes fewer calls."""
-        single = [k for k in keys if k.endswith(MARK)]  # a run of marks would grow by the next one's
-        joined = [k for k in keys if k and not k.endswith(MARK)]
-        parts = [[k] for k in single] + [joined[at : at + 256] for at in range(0, len(joined), 256)]
-        texts = [" ".join(p) for p in parts]
-        own = [b"".join([self._begin, *map(self.segments.__getitem__, p), self._end]) for p in parts]
-        self.check(texts, own, list(map(self.decode_raw, own)))
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
@@ -248,6 +296,7 @@ def codec(path: str) -> PieceCodec:
 def _encode(model: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
+        gc.freeze()  # the codec and its cache make no cycles; walking them again and again takes a tenth of the time
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
             texts = [t or "" for t in texts.to_pylist()]
@@ -279,6 +328,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             doc, texts = columns(batch, "doc_id", "text")
             for k, text in enumerate(texts.to_pylist()):  # a row at a time bounds memory for long texts
                 raw = own.encode(text or "")
+                own.check([text or ""], [raw], [own.decode_raw(raw)])
                 yield pa.RecordBatch.from_arrays([doc.slice(k, 1), pa.array([memoryview(raw).cast("i").tolist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, ids array<int>")
