@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that count as white space in every contract of this package.
@@ -75,6 +75,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A table of ``materialize`` read anew, with columns of its own, for plans that read it twice."""
+    return table.sparkSession.read.schema(table.schema).parquet(table.scratch_path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no plan yet to be run reads."""
     for df in tables:
@@ -88,6 +93,44 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hash_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """Rows of ``rows`` whose 64-bit hash ``key`` is among the least, with ``__key``: about ``1.2 * most`` different keys.
+
+    The limit comes from an estimate of the number of different keys, so no task sends more than its
+    share, and repeated rows don't crowd out others.
+    """
+    keyed = rows.withColumn("__key", key)
+    n = keyed.agg(F.approx_count_distinct("__key", 0.02)).first()[0]
+    share = min(1.0, 1.2 * most / max(1, n))
+    return keyed.filter(F.col("__key") <= int(-(1 << 63) + share * ((1 << 64) - 1025))) if share < 1 else keyed
+
+
+def small(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """``table`` with a hint to broadcast it if it has at most ``most`` rows, which are to be narrow; else as it is."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``row``, the whole row as one value, so that no column can clash, and two 64-bit hashes of its id and text."""
+    doc = docs["doc_id"].cast("long")
+    keys = [F.xxhash64(F.lit(k), doc.isNull(), doc, docs["text"].isNull(), docs["text"]).alias(f"key{k}") for k in (1, 2)]
+    return docs.select(F.struct(*docs.columns).alias("row"), *keys)
+
+
+def without(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``with_keys`` without those that ``decided(key1, key2, kept)``, a table, lets go.
+
+    ``decided`` has a row for each of the rows that it is about. Of rows with the same keys, one is kept.
+    """
+    judged = materialize(decided.groupBy("key1", "key2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("NOT kept OR times > 1"), "judged")
+    discard(decided)
+    kept = keyed.join(small(judged.select("key1", "key2")), ["key1", "key2"], "left_anti").select("row")
+    once = judged.filter("kept").select("key1", "key2")
+    if not once.isEmpty():
+        kept = kept.union(keyed.join(small(once), ["key1", "key2"]).dropDuplicates(["key1", "key2"]).select("row"))
+    return kept.select("row.*")
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """Rows of ``counts`` with the largest ``n``, as many as fit in ``most`` without cutting through like counts.
 
