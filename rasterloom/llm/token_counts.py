@@ -6,7 +6,8 @@ pre-tokens, at most ``hot`` of them, which is broadcast. It comes from counts ov
 each task keeps a bounded summary of its words, the summaries' sums name the most frequent words,
 and the pre-tokens of those are encoded once. Tier two is a bounded cache in each worker, filled
 by the tokenizer library. No pre-token is shuffled; the summaries have at most ``summary`` rows a
-task. The table only saves work: the counts don't depend on it.
+task. The table only saves work: the counts don't depend on it. Words and pre-tokens of more than 64
+characters are in neither table nor caches, so those stay compact whatever the texts hold.
 
 Texts with characters that the pattern's two implementations could classify differently (those
 assigned in recent Unicode versions), or with an added token's string, go to the library whole.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import TwoGenerations
-from .common import columns, materialize, most_frequent
+from .common import columns, discard, materialize, most_frequent
 
 # Fixed value: the pre-token pattern of byte-level BPE tokenizers of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +39,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _UNSETTLED = regex.compile("[^\u0000-՗֐-࡟ऀ-౛฀-₎₠-Ꟊ가-힣豈-�\U0001f000-\U0001faff\U00020000-\U0002a6df]")
 _PATTERN = regex.compile(PRE_TOKEN)
 _CACHED = 200_000
+_LONGEST = 64  # characters of a word in the table
 
 
 class HotTable:
@@ -47,12 +49,12 @@ class HotTable:
         raw = [t.encode("utf-8") for t in lengths]
         self.text = b"".join(raw)
         self.ends = np.cumsum([len(r) for r in raw], dtype=np.uint32).tobytes()
-        self.lengths = np.array(list(lengths.values()), np.uint16).tobytes()
+        self.lengths = np.array(list(lengths.values()), np.uint32).tobytes()
 
     def unpacked(self) -> dict[str, int]:
         ends = np.frombuffer(self.ends, np.uint32).tolist()
         words = (self.text[a:b].decode("utf-8") for a, b in zip([0, *ends], ends))
-        return dict(zip(words, np.frombuffer(self.lengths, np.uint16).tolist(), strict=True))
+        return dict(zip(words, np.frombuffer(self.lengths, np.uint32).tolist(), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +83,7 @@ class Counting(dict):
         return len(self._library.encode(token, add_special_tokens=False).ids)
 
     def __missing__(self, token: str) -> int:
-        return self._cache[token]
+        return self._cache[token] if len(token) <= _LONGEST else self._encode(token)
 
     def count(self, text: str | None) -> int:
         """Number of tokens of a whole text."""
@@ -111,7 +113,7 @@ def _summaries(summary: int):
         for batch in batches:
             for text in columns(batch, "text")[0].to_pylist():
                 if text:
-                    counts.update(text.split())
+                    counts.update([w for w in text.split() if len(w) <= _LONGEST])
                     if len(counts) > 16 * summary:
                         counts = Counter(dict(counts.most_common(4 * summary)))
         top = counts.most_common(summary)
@@ -127,6 +129,7 @@ def hot_table(docs: DataFrame, tokenizer: str, *, hot: int = 32_768, summary: in
     for word, n in most_frequent(words, hot).collect():
         for token in _PATTERN.findall(" " + word):
             counts[token] += n
+    discard(words)
     own = library(tokenizer)
     top = [t for t, _ in counts.most_common(hot)]
     return HotTable({t: len(own.encode(t, add_special_tokens=False).ids) for t in top})
