@@ -1,24 +1,24 @@
 """Language identification by compression with one dictionary for each language.
 
 For each language of the training rows, a raw-content zstandard dictionary is made of the words of
-at most ``docs_per_language`` of its rows (those with the least hash of ``doc_id``), of at most
-``chars_per_doc`` characters each. It holds the words of several texts by falling distance from
-the end as they are more frequent, at most ``dictionary_bytes`` of them; single passages, which
-texts of other languages may share, don't get in. A text is reduced to its lower-case words and
-belongs to the language whose dictionary compresses it to the fewest bytes. Where the second is
-nearly as small (by less than ``min_margin`` of its size) the answer is marked as rejected and
-has a low score.
+at most ``docs_per_language`` of its rows (of different ``doc_id``s, those with the least hashes), whole
+texts. It holds the words of several texts by falling distance from the end as they are more
+frequent, at most ``dictionary_bytes`` of them, and of all languages together at most ``all_bytes``, which
+is what is broadcast; single passages, which texts of other languages may share, don't get in. A text
+is reduced to its lower-case words and belongs to the language whose dictionary compresses it to the
+fewest bytes. Where the second is nearly as small (by less than ``min_margin`` of its size) the answer
+is marked as rejected and has a low score.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, and so is everything
 where no language was learnt. Ties go to the language with more training rows. Rows with null
-``lang`` or null ``doc_id`` aren't learnt from. Repeated rows get equal results; extra columns are
-ignored.
+``lang`` or null ``doc_id`` aren't learnt from; of rows that repeat a ``doc_id`` in one language one is.
+Repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, discard, materialize, small
 
 _LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,29 +42,45 @@ def _plain(text: str) -> bytes:
     return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
-def _dictionary(texts: list[bytes], most: int) -> bytes:
-    """Words of at least two texts, the most frequent last, where references are cheapest."""
-    found = Counter(w for t in set(texts) for w in set(t.split()))
-    several = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n > 1 or len(texts) < 8]
-    return b" ".join(reversed(several))[-most:]
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each row (lang, text)."""
+    for batch in batches:
+        langs, found = [], []
+        for lang, text in zip(*(x.to_pylist() for x in columns(batch, "lang", "text")), strict=True):
+            words = sorted(set(_plain(text).split()))
+            langs += [lang] * len(words)
+            found += words
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "word"])
 
 
-def learn_dictionaries(docs: DataFrame, *, docs_per_language: int = 256, chars_per_doc: int = 8192, dictionary_bytes: int = 112_640, max_languages: int = 1000) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, *, docs_per_language: int = 256, dictionary_bytes: int = 112_640, all_bytes: int = 64 << 20) -> dict[str, bytes]:
     """The raw content of each language's dictionary, languages with more training rows first.
 
-    Ids are picked from the narrow columns, with a limit for each language applied before the
-    shuffle; only then are the picked rows' texts read.
+    Ids are picked from the narrow columns, most rows falling out by a hash limit before the shuffle; only
+    then are the picked rows' texts read. Words are counted in tasks, and only dictionaries reach the driver.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter("lang IS NOT NULL").filter(~_held_out())
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language)
-    picked = picked.orderBy("rank", "lang").limit(docs_per_language * max_languages).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    parts: dict[str, list[bytes]] = defaultdict(list)
-    for row in texts.filter("text IS NOT NULL").select("lang", F.substring("text", 1, chars_per_doc).alias("text")).collect():
-        parts[row["lang"]].append(_plain(row["text"]))
-    made = {lang: _dictionary(parts[lang], dictionary_bytes) for lang in common}
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter("lang IS NOT NULL").filter(~_held_out())
+    common = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").collect()
+    # A row for each language, as there is a dictionary for each.
+    each = min(dictionary_bytes, all_bytes // max(1, len(common)))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * docs_per_language / max(1, r["ids"]))) for r in common], "lang string, share double")
+    key = F.xxhash64("doc_id")
+    ids = own.select("doc_id", "lang").join(F.broadcast(limits), "lang").filter(F.pmod(key, F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(key, "doc_id")
+    picked = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language).select("doc_id", "lang")
+    picked = materialize(picked, "language-sample")
+    texts = own.join(small(picked), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).filter("text IS NOT NULL")
+    texts = materialize(texts.select("lang", "text"), "language-texts")
+    discard(picked)
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    counts = texts.distinct().mapInArrow(_words, "lang string, word binary").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).join(sizes, "lang").filter("n > 1 OR texts < 8")
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    held = counts.withColumn("end", F.sum(F.length("word") + 1).over(best)).filter(F.col("end") <= each + 1)
+    words: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
+    for row in held.select("lang", "end", "word").collect():
+        words[row["lang"]].append((row["end"], bytes(row["word"])))
+    discard(texts)
+    made = {r["lang"]: b" ".join(w for _, w in sorted(words[r["lang"]], reverse=True)) for r in common}
     return {lang: raw for lang, raw in made.items() if len(raw) >= 8}
 
 
