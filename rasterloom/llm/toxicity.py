@@ -1,17 +1,18 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Labels are learnt from a sample of at most ``max_rows`` labelled rows (those with the least hash
-of ``doc_id``), which is small enough to broadcast, so no text is shuffled. A first pass over the
-texts learns a second lexicon beside the fixed one: words and word beginnings that hardly occur
-in clean texts of the sample, with enough different words before them that copies of one text
-can't bring a term in. A second pass turns each whole text into a short feature vector: lexicon
-densities, second-person proximity, capitals, punctuation and obfuscation rates. Trees are
-fitted on the driver to the sample's vectors; three quarters grow the trees, one quarter
-calibrates. Scoring is a map over the vectors.
+of ``doc_id``), which is small enough to broadcast; only the texts of its rows are read for learning.
+A second lexicon beside the fixed one is learnt from them: words and word beginnings that hardly
+occur in clean texts of the sample, with enough different words before them that copies of one text
+can't bring a term in. A text becomes a short feature vector: lexicon densities, second-person
+proximity, capitals, punctuation and obfuscation rates. Trees are fitted on the driver to the
+sample's vectors; three quarters grow the trees, one quarter calibrates. Scoring is one map over all
+whole texts, features and trees together.
 
 Edge cases: null and empty texts have an all-zero vector and the score that goes with it. Rows
 without a label, with a null label or a null ``doc_id`` are never trained on; several labels of
-one ``doc_id`` count as their maximum. With no label, or labels of one kind, every score is that
+one ``doc_id`` count as their maximum; of rows that repeat a labelled ``doc_id`` one text (that of the
+least hash) is learnt from. With no label, or labels of one kind, every score is that
 kind's rate (0 without labels). Repeated rows get equal scores. Extra columns are ignored by
 ``toxicity`` and kept by ``drop_toxic``.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, flat_list, materialize
+from .common import columns, discard, flat_list, hash_sample, materialize
 
 # Insults in English, French, German and Spanish.
 INSULTS = """
@@ -44,7 +45,6 @@ SECOND_PERSON = "you your yours yourself ur u tu toi ton ta tes vous votre vos d
 
 #: A learnt term is a whole word, or a word's beginning of one of these lengths, in UTF-8 bytes.
 _STEMS = (4, 5, 6, 7, 8)
-_MAX_TERMS = 4096
 
 FEATURES = ("log_words", "log_hits", "hit_density", "distinct_hits", "near_second_person", "second_person_rate", "capital_rate", "shouted_rate", "exclamation_rate", "punctuation_rate", "obfuscated_hits", "obfuscated_rate", "stretched_hits", "log_learnt_hits", "learnt_density", "learnt_near_second_person")
 
@@ -126,14 +126,14 @@ def _vectors(terms: frozenset[bytes]):
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)
         for batch in batches:
-            ids, text = columns(batch, "doc_id", "text")
+            ids, toxic, text = columns(batch, "doc_id", "toxic", "text")
             got = np.array([features(t, lexicon) for t in text.to_pylist()], np.float32).reshape(len(ids), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([ids, flat_list(got.ravel(), [len(FEATURES)] * len(ids), pa.float32())], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([ids, toxic, flat_list(got.ravel(), [len(FEATURES)] * len(ids), pa.float32())], ["doc_id", "toxic", "x"])
 
     return vectors
 
 
-def _term_counts(sample: dict[int, bool]):
+def _term_counts():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of each kind that hold a term, and a bitmap of the words before it in toxic ones."""
         found: dict[bytes, list[int]] = {}
@@ -144,9 +144,8 @@ def _term_counts(sample: dict[int, bool]):
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(3))], ["term", "toxic", "clean", "before"])
 
         for batch in batches:
-            for doc, text in zip(*(x.to_pylist() for x in columns(batch, "doc_id", "text")), strict=True):
-                kind = sample.get(doc)
-                if kind is None or not text:
+            for kind, text in zip(*(x.to_pylist() for x in columns(batch, "toxic", "text")), strict=True):
+                if not text:
                     continue
                 words = letters_only(text)[2]
                 seen: dict[bytes, int] = {}
@@ -173,17 +172,26 @@ def _term_counts(sample: dict[int, bool]):
     return count
 
 
-def sampled_labels(labels: DataFrame, max_rows: int) -> dict[int, bool]:
-    """``doc_id`` to label, of the at most ``max_rows`` rows that are learnt from."""
+def sampled_labels(labels: DataFrame, max_rows: int) -> DataFrame:
+    """``doc_id, toxic``: the at most ``max_rows`` ids that are learnt from, with their labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~_held_out("doc_id"))
-    rows = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
-    return {r[0]: r[1] > 0 for r in rows}
+    rows = hash_sample(known, F.xxhash64("doc_id"), max_rows).groupBy("__key", "doc_id").agg(F.max("toxic").alias("toxic"))
+    return rows.orderBy("__key", "doc_id").limit(max_rows).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
 
 
-def learn_terms(docs: DataFrame, sample: dict[int, bool]) -> frozenset[bytes]:
-    """At most ``_MAX_TERMS`` terms of toxic texts, the most frequent first."""
-    counts = docs.mapInArrow(_term_counts(sample), "term binary, toxic long, clean long, before long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("before")).alias("before"))
-    good = counts.filter("toxic >= 8 AND before >= 5 AND toxic >= 9 * clean AND length(term) >= 4").orderBy(F.desc("toxic"), "term").limit(_MAX_TERMS)
+def sampled_texts(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """A table ``doc_id, toxic, text`` of the sample; its ids are broadcast, so no other text moves."""
+    sample = materialize(sampled_labels(labels, max_rows), "toxicity-labels")
+    found = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = materialize(found, "toxicity-texts")
+    discard(sample)
+    return texts
+
+
+def learn_terms(texts: DataFrame) -> frozenset[bytes]:
+    """The terms of toxic texts of a sample; each is in eight of them at least, which bounds their number."""
+    counts = texts.mapInArrow(_term_counts(), "term binary, toxic long, clean long, before long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("before")).alias("before"))
+    good = counts.filter("toxic >= 8 AND before >= 5 AND toxic >= 9 * clean AND length(term) >= 4")
     return frozenset(bytes(r[0]) for r in good.select("term").collect())
 
 
@@ -301,50 +309,49 @@ def _held_out(col: str):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit_toxicity(vectors: DataFrame, sample: dict[int, bool]) -> ToxicityModel:
-    """Fit to the sample's ``vectors(doc_id, x)``."""
-    spark = vectors.sparkSession
-    ids = spark.createDataFrame(sorted(sample.items()), "doc_id long, toxic boolean")
-    rows = vectors.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "x").limit(2 * len(sample)).collect()  # repeated rows beyond twice the sample add nothing
-    return ToxicityModel.fit(np.array([r["x"] for r in rows], np.float32).reshape(len(rows), len(FEATURES)), np.array([float(r["toxic"]) for r in rows]))
-
-
-def _scorer(model: ToxicityModel):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, held, x = columns(batch, "doc_id", "held_out", "x")
-            got = model.score(x.flatten().to_numpy().reshape(len(ids), len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return score
+def fit_toxicity(texts: DataFrame, terms: frozenset[bytes]) -> ToxicityModel:
+    """Fit to a sample of texts, in the order of their ids' hashes."""
+    vectors = texts.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic boolean, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    x = vectors["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return ToxicityModel.fit(x, vectors["toxic"].to_numpy().astype(np.float64))
 
 
-def _id_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+def _scores(model: ToxicityModel, lexicon: Lexicon, batch: pa.RecordBatch) -> np.ndarray:
+    x = np.array([features(t, lexicon) for t in columns(batch, "text")[0].to_pylist()], np.float32)
+    return model.score(x.reshape(batch.num_rows, len(FEATURES)))
 
 
-def _learn(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFrame, frozenset[bytes], ToxicityModel]:
-    own = _id_and_text(docs)
-    sample = sampled_labels(labels, max_rows)
-    terms = learn_terms(own, sample)
-    vectors = materialize(own.mapInArrow(_vectors(terms), "doc_id long, x array<float>"), "toxicity-vectors")
-    return vectors, terms, fit_toxicity(vectors, sample)
+def _learn(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[frozenset[bytes], ToxicityModel]:
+    texts = sampled_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), labels, max_rows)
+    terms = learn_terms(texts)
+    model = fit_toxicity(texts, terms)
+    discard(texts)
+    return terms, model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted."""
-    vectors, _, model = _learn(docs, labels, max_rows)
-    return vectors.select("doc_id", _held_out("doc_id").alias("held_out"), "x").mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    learnt = docs.sparkSession.sparkContext.broadcast(_learn(docs, labels, max_rows))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, model = learnt.value
+        lexicon = Lexicon(terms)
+        for batch in batches:
+            got = _scores(model, lexicon, batch)
+            yield pa.RecordBatch.from_arrays([*columns(batch, "doc_id", "held_out"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").select("doc_id", _held_out("doc_id").alias("held_out"), "text")
+    return own.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that are predicted not to be toxic, with all their columns."""
-    _, terms, model = _learn(docs, labels, max_rows)
+    learnt = docs.sparkSession.sparkContext.broadcast(_learn(docs, labels, max_rows))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, model = learnt.value
         lexicon = Lexicon(terms)
         for batch in batches:
-            x = np.array([features(t, lexicon) for t in columns(batch, "text")[0].to_pylist()], np.float32).reshape(batch.num_rows, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) < 0.5))
+            yield batch.filter(pa.array(_scores(model, lexicon, batch) < 0.5))
 
     return docs.mapInArrow(clean, docs.schema)
