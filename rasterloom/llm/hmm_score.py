@@ -1,16 +1,18 @@
 """Language-model scores by a hidden Markov model with class emissions.
 
-Vocabulary. All words of the training texts are counted. The ``own`` most frequent are classes
-of their own; the others share ``suffixes`` classes by a hash of their last bytes, and the end
-of a text is a class. A latent state emits a class; a class emits its word by the word's count,
-``(c + 1) / sum over the class's words of (c + 1)`` with one more slot of weight 1 for words never
-seen. So the states stay small while the word probabilities come from the counts of the whole
-corpus, and a word's own part of the score is the same sum of ``log10(c + 1)`` that the base needs.
-
-Training. Baum-Welch: each round maps over the training texts' class sequences, in blocks of
+Vocabulary. All words of the training texts are counted. The most frequent are classes of their own;
+the others share classes by a hash of their last bytes, and the end of a text is a class. Both kinds
+grow with the square root of the number of different words, so what the states learn grows with the
+corpus, yet more slowly than it. A latent state emits a class; a class emits its word by the word's
+count, ``(c + 1) / sum over the class's words of (c + 1)`` with one more slot of weight 1 for words
+never seen. So the word probabilities come from the counts of the whole corpus, and a word's own part
+of the score is the same sum of ``log10(c + 1)`` that the base needs.
+
+Training. Baum-Welch: each round maps over the training texts' whole class sequences, in blocks of
 texts of like length, and sums expected counts of (state, class), transitions and starts across
-partitions; only those sums, of a size fixed by the parameters, come to the driver. States start
-from clusters of a bounded sample of different texts, and from noise where there are too few.
+partitions; only those sums come to the driver, and the likelihood of each round with them. States
+start from clusters of about ``sample_rows`` different whole texts, as counts of their classes, and
+from noise where there are too few.
 
 Scoring. The scaled forward recursion gives the exact log10 likelihood of the class sequence;
 the counts of rare words are joined to the texts by word. The ``hot`` most frequent words, which
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, flat_list, materialize, most_frequent
+from .common import columns, discard, flat_list, hash_sample, materialize, most_frequent
 from .shingles import words_of
 
 _BLOCK = 300_000
@@ -140,7 +142,7 @@ def _read(vocabulary):
                 hot_log.append(float(logs.sum()))
                 own_log.append(float(logs[is_own].sum()))
                 class_log.append(float(v.class_log[shared].sum()))
-                classes.append(np.append(code, v.end).astype(np.uint16).tobytes())
+                classes.append(np.append(code, v.end).astype(np.uint32).tobytes())
                 rare += own.keys()
                 times += own.values()
                 lengths.append(len(own))
@@ -176,10 +178,10 @@ class Hmm:
                 scales.append(scale)
         return total, alphas, scales
 
-    def expect(self, block: np.ndarray, lengths: np.ndarray, into: Hmm) -> None:
-        """Add a block's expected counts (Baum-Welch) to ``into``."""
+    def expect(self, block: np.ndarray, lengths: np.ndarray, into: Hmm) -> float:
+        """Add a block's expected counts (Baum-Welch) to ``into``; its log10 likelihood."""
         live = _live(lengths, block.shape[1])
-        _, alphas, scales = self.forward(block, lengths, True)
+        total, alphas, scales = self.forward(block, lengths, True)
         gammas, codes = [], []
         beta = np.ones((0, len(self.start)))
         for t in range(block.shape[1] - 1, -1, -1):
@@ -196,6 +198,7 @@ class Hmm:
         gamma, code = np.concatenate(gammas), np.concatenate(codes)
         for s in range(gamma.shape[1]):
             into.emit[:, s] += np.bincount(code, gamma[:, s], len(into.emit))
+        return float(total.sum())
 
 
 def _live(lengths: np.ndarray, steps: int) -> list[int]:
@@ -219,26 +222,29 @@ def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint16) for x in columns(batch, "classes")[0]]
+    return [np.frombuffer(x.as_buffer(), np.uint32) for x in columns(batch, "classes")[0]]
 
 
 def _expected(model):
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's expected counts, and its texts' log10 likelihood under the key -1."""
         own: Hmm = model.value
         into = Hmm(np.zeros_like(own.start), np.zeros_like(own.move), np.zeros_like(own.emit))
+        likelihood = 0.0
         for batch in batches:
             for _, block, lengths in _blocks(_sequences(batch)):
-                own.expect(block, lengths, into)
+                likelihood += own.expect(block, lengths, into)
         flat = np.concatenate([into.start, into.move.ravel(), into.emit.ravel()])
         at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["k", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(flat[at], likelihood))], ["k", "x"])
 
     return expected
 
 
-def _first_states(sample: list[np.ndarray], prior: np.ndarray, states: int) -> Hmm:
-    """States from clusters of the sample: far-apart texts seed them, texts go to the most similar seed.
+def _first_states(sample: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, states: int, weight: float = 20.0) -> Hmm:
+    """States from clusters of the sample's (classes, counts): far-apart texts seed them, texts go to the most similar seed.
 
+    ``weight`` tokens of the prior are added to each text, so that short ones aren't far from everything.
     Where the sample has fewer different texts than states, the others are the prior with fixed noise, so
     that no two states start alike.
     """
@@ -246,46 +252,66 @@ def _first_states(sample: list[np.ndarray], prior: np.ndarray, states: int) -> H
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     emit = prior[:, None] * np.random.default_rng(0).uniform(0.5, 1.5, (len(prior), states))
-    long = [s for s in sample if len(s) > 20]
-    sample = long if len(long) >= states else [s for s in sample if len(s) > 1]
     if sample:
-        hist = np.sqrt(np.stack([np.bincount(s[:-1], minlength=len(prior)) / (len(s) - 1) for s in sample]))
-        seeds, near = [0], hist @ hist[0]
+        sizes = np.array([n.sum() for _, n in sample])
+
+        def smoothed(k: int) -> np.ndarray:
+            out = weight * prior
+            np.add.at(out, sample[k][0], sample[k][1])
+            return np.sqrt(out / (sizes[k] + weight))
+
+        seeds, alike = [], []
+        near = np.full(len(sample), -1.0)
         while len(seeds) < states and near.min() < 1 - 1e-9:
             seeds.append(int(near.argmin()))
-            near = np.maximum(near, hist @ hist[seeds[-1]])
-        own = (hist @ hist[seeds].T).argmax(axis=1)
+            seed = smoothed(seeds[-1])
+            alike.append(np.array([seed @ smoothed(k) for k in range(len(sample))]))
+            near = np.maximum(near, alike[-1])
+        own = np.argmax(alike, axis=0)
         for s in range(len(seeds)):
-            mass = np.square(hist[own == s]).sum(axis=0)
-            if mass.any():
-                emit[:, s] = 0.5 * prior + 0.5 * mass / mass.sum()
+            mass = np.zeros(len(prior))
+            for k in np.flatnonzero(own == s).tolist():
+                np.add.at(mass, sample[k][0], sample[k][1] / sizes[k])
+            emit[:, s] = 0.5 * prior + 0.5 * mass / mass.sum()
     return Hmm(start, move, emit / emit.sum(axis=0))
 
 
-def _sample(sequences: DataFrame, rows: int) -> list[np.ndarray]:
-    """The class sequences of ``rows`` different texts: those of the least hashes, each once however many copies it has."""
-    texts = sequences.groupBy(F.xxhash64("classes").alias("text")).agg(F.min("rid").alias("rid"))
-    chosen = [r["rid"] for r in texts.orderBy("text").limit(rows).collect()]
-    found = sequences.filter(F.col("rid").isin(chosen)).select("rid", F.substring("classes", 1, 4096).alias("classes")).collect()
-    place = {rid: k for k, rid in enumerate(chosen)}
-    return [np.frombuffer(r["classes"], np.uint16) for r in sorted(found, key=lambda r: place[r["rid"]])]
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(s, return_counts=True) for s in _sequences(batch)]
+        lengths = [len(k) for k, _ in found]
+        lists = [flat_list(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]).astype(np.int64), lengths, pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns(batch, "__key"), *lists], ["text", "class", "n"])
+
+
+def _sample(sequences: DataFrame, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(classes, counts) of ``rows`` different texts: those of the least hashes, each once however many copies it has."""
+    texts = hash_sample(sequences.select("classes"), F.xxhash64("classes"), rows).dropDuplicates(["__key"])
+    found = texts.mapInArrow(_class_counts, "text long, class array<long>, n array<long>").orderBy("text").limit(rows).toArrow()
+    return [(np.array(k), np.array(n, np.float64)) for k, n in zip(found["class"].to_pylist(), found["n"].to_pylist(), strict=True)]
 
 
-def train(sequences: DataFrame, prior: np.ndarray, *, states: int, rounds: int, sample_rows: int, weight: float = 50.0) -> Hmm:
-    """Baum-Welch over ``sequences(rid, classes)``; ``weight`` is the prior's share in each state's emissions."""
-    spark = sequences.sparkSession
-    model = _first_states(_sample(sequences, sample_rows), prior, states)
+def train(sequences: DataFrame, prior: np.ndarray, *, states: int, rounds: int, sample_rows: int, weight: float = 50.0) -> tuple[Hmm, list[float]]:
+    """Baum-Welch over ``sequences(classes)``: the model, and the log10 likelihood before each round.
+
+    ``weight`` is the prior's share in each state's emissions.
+    """
+    context = sequences.sparkSession.sparkContext
+    model, likelihoods = _first_states(_sample(sequences, sample_rows), prior, states), []
     for _ in range(rounds):
-        sums = sequences.select("classes").mapInArrow(_expected(spark.sparkContext.broadcast(model)), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+        shared = context.broadcast(model)
+        sums = sequences.select("classes").mapInArrow(_expected(shared), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+        shared.unpersist()
+        k, x = (sums[c].to_numpy() for c in ("k", "x"))
+        likelihoods.append(float(x[k < 0].sum()))
         flat = np.zeros(states + states * states + states * len(prior))
-        for k, x in sums:
-            flat[k] = x
-        if not sums:
+        flat[k[k >= 0]] = x[k >= 0]
+        if not flat.any():
             break
         start, move, emit = flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states)
         start, move, emit = start + 1, move + 1, emit + weight * prior[:, None]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return model
+    return model, likelihoods
 
 
 def _likelihood(model):
@@ -301,8 +327,13 @@ def _likelihood(model):
     return likelihood
 
 
-def hmm_scores(docs: DataFrame, *, states: int = 8, rounds: int = 3, own: int = 4096, suffixes: int = 2048, hot: int = 200_000, sample_rows: int = 512) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def hmm_scores(docs: DataFrame, *, states: int = 8, rounds: int = 3, own: float = 4.0, suffixes: float = 2.0, hot: int = 200_000, sample_rows: int = 512, report: list[float] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``own`` and ``suffixes`` times the square root of the number of different training words are the numbers of
+    the two kinds of classes. The log10 likelihood of the training texts' classes before each round is put
+    into ``report``.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", _held_out().alias("held_out"), "text")
     training = rows.filter(~F.col("held_out"))
@@ -314,19 +345,23 @@ def hmm_scores(docs: DataFrame, *, states: int = 8, rounds: int = 3, own: int =
     top = sorted(most_frequent(counts, hot).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     words = {bytes(r["word"]): k for k, r in enumerate(top)}
     number = np.array([r["n"] for r in top], np.float64)
-    own = min(own, len(top))
-    class_of = np.array([k if k < own else suffix_class(w, own, suffixes) for w, k in words.items()], np.int64)
-    weights = np.ones(suffixes)  # the slot of unseen words
-    for k, w in counts.mapInArrow(_class_weights(frozenset(list(words)[:own]), own, suffixes), "k long, w double").groupBy("k").agg(F.sum("w").alias("w")).collect():
+    n_own, n_shared = (int(x * types**0.5) + 1 for x in (own, suffixes))
+    n_own = min(n_own, len(top))
+    class_of = np.array([k if k < n_own else suffix_class(w, n_own, n_shared) for w, k in words.items()], np.int64)
+    weights = np.ones(n_shared)  # the slot of unseen words
+    for k, w in counts.mapInArrow(_class_weights(frozenset(list(words)[:n_own]), n_own, n_shared), "k long, w double").groupBy("k").agg(F.sum("w").alias("w")).collect():
         weights[k] += w
-    prior = np.concatenate([number[:own], weights, [ends + 1.0]])
-    vocabulary = Vocabulary(words, np.log10(number + 1), class_of, own, suffixes, float(np.log10(ends + 1)), np.log10(weights))
+    prior = np.concatenate([number[:n_own], weights, [ends + 1.0]])
+    vocabulary = Vocabulary(words, np.log10(number + 1), class_of, n_own, n_shared, float(np.log10(ends + 1)), np.log10(weights))
     read = materialize(rows.mapInArrow(_read(spark.sparkContext.broadcast(vocabulary)), _READ), "sequences")
-    model = train(read.filter(~F.col("held_out")).select("rid", "classes"), prior / prior.sum(), states=states, rounds=rounds, sample_rows=sample_rows)
+    model, likelihoods = train(read.filter(~F.col("held_out")).select("classes"), prior / prior.sum(), states=states, rounds=rounds, sample_rows=sample_rows)
+    if report is not None:
+        report += likelihoods
 
     rare = read.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    seen = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log"), F.sum(F.col("times").cast("long")).alias("rare_known"))
-    scored = read.mapInArrow(_likelihood(spark.sparkContext.broadcast(model)), "rid long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, own_log double, class_log double, class_score double")
+    seen = materialize(rare.join(counts, "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log"), F.sum(F.col("times").cast("long")).alias("rare_known")), "rare-words")
+    scored = materialize(read.mapInArrow(_likelihood(spark.sparkContext.broadcast(model)), "rid long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_log double, own_log double, class_log double, class_score double"), "class-scores")
+    discard(counts, read)
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("hot_log") + F.lit(vocabulary.end_log) + rare_log - F.col("n_tokens") * F.lit(float(np.log10(tokens + types + 1)))
     score = F.col("class_score") + F.col("hot_log") - F.col("own_log") + rare_log - F.col("class_log")
