@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, flat_list, materialize, mix
+from .common import columns, discard, flat_list, materialize, mix, with_keys, without
 from .components import components
 from .shingles import WordHashes, shingle_runs, shingle_set, words_of
 
@@ -502,11 +502,8 @@ def _grown(spark, edges: list[DataFrame]) -> DataFrame:
     return components(found)
 
 
-def _keyed(docs: DataFrame, *more) -> DataFrame:
-    """doc_id and text, with two 64-bit keys of them that tell rows apart."""
-    doc = docs["doc_id"].cast("long")
-    keys = [F.xxhash64(F.lit(k), doc.isNull(), doc, docs["text"].isNull(), docs["text"]).alias(f"key{k}") for k in (1, 2)]
-    return docs.select(doc.alias("doc_id"), docs["text"].alias("text"), *keys, *more)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return with_keys(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")).select("row.doc_id", "row.text", "key1", "key2")
 
 
 def similar_classes(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -531,12 +528,7 @@ def keep_one_of_each(docs: DataFrame, *, width: int = 5, similarity: tuple[int,
     rows = _classes(_keyed(docs), width, Threshold(*similarity))
     linked = rows.filter("component IS NOT NULL")
     best = materialize(linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key1", "key2")).alias("best")), "class-best")
-    judged = linked.join(best, "component").withColumn("stays", (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2")))
-    judged = materialize(judged.groupBy("key1", "key2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")).filter("NOT stays OR times > 1"), "class-judged")
+    kept = (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2"))
+    decided = materialize(linked.join(best, "component").select("key1", "key2", kept.alias("kept")), "class-decided")
     discard(rows, best)
-    whole = _keyed(docs, F.struct(*docs.columns).alias("row")).select("key1", "key2", "row")
-    kept = whole.join(judged.select("key1", "key2"), ["key1", "key2"], "left_anti")
-    again = judged.filter("stays")
-    if not again.isEmpty():
-        kept = kept.union(whole.join(again.select("key1", "key2"), ["key1", "key2"]).dropDuplicates(["key1", "key2"]))
-    return kept.select("row.*")
+    return without(with_keys(docs), decided)
