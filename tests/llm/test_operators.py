@@ -141,6 +141,18 @@ def test_keep_one_of_each(spark, edge_rows):
     assert similar_classes(frame(spark, [])).collect() == []
 
 
+def test_keep_one_of_each_by_row(spark):
+    """Near copies go even where another text has their id; equal rows leave one."""
+    rng = random.Random(8)
+    a, c, d = (words(rng, 200, 100_000).split() for _ in range(3))
+    near = [" ".join([*a[:k], f"x{k}", *a[k + 1 :]]) for k in (10, 40, 70)]
+    rows = [(3, near[0]), (5, near[1]), (5, " ".join(c)), (None, near[2]), (None, " ".join(d)), (3, near[0]), (9, None), (9, None)]
+    stay = keep_one_of_each(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in stay) == Counter([(3, near[0]), (5, " ".join(c)), (None, " ".join(d)), (9, None), (9, None)])
+    got = keep_first(frame(spark, [(1, "a b"), (1, "ab "), (1, "a b"), (1, "c"), (2, "a b"), (None, "c"), (None, None), (None, None)])).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, "a b"), (1, "c"), (None, None)]) or Counter((r.doc_id, r.text) for r in got) == Counter([(1, "ab "), (1, "c"), (None, None)])
+
+
 def test_span_dedup_removes_later_passages(spark):
     rng = random.Random(4)
     sentence = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
@@ -312,8 +324,17 @@ def test_sentencepiece(spark, edge_rows, real):
 def test_merging_many_runs_is_merging_each():
     own, rng = codec(PIECES), random.Random(6)
     runs = {"".join(rng.choice("▁abcdeinorstéß日\n.") for _ in range(rng.randrange(1, 70))) for _ in range(2000)}
-    many = own.merge_many(list(runs))
-    assert all(memoryview(many[r]).cast("I").tolist() == own.merge(r) for r in runs)
+    for front in ("", "▁"):
+        many = own.merge_many(runs, front)
+        assert all(memoryview(many[r]).cast("I").tolist() == own.merge(front + r) for r in runs)
+
+
+def test_sentencepiece_of_odd_texts():
+    own, rng = codec(PIECES), random.Random(16)
+    texts = ["", " ", "  ", "a  b", " a", "a ", "▁", "a▁ b", "...", "a.,;:!", "é.", "日本. 語,", "x\x00.", "don't.", "«a».", "tab\t.\n."]
+    texts += ["".join(rng.choice("ab é.,!▁ \n日-'") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    many = own.encode_many(texts)
+    own.check(texts, many, [own.decode_raw(x) for x in many])
 
 
 def test_sentencepiece_difference_is_an_error():
@@ -339,7 +360,7 @@ def test_token_counts(spark, edge_rows, real):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(BYTES)
-    rows = [(r.doc_id, r.text) for r in real.collect()] + edge_rows + [(900, "a֋b քx՘ \U0001df90 don't  <|endoftext|>\x1c y\u0085z")]
+    rows = [(r.doc_id, r.text) for r in real.collect()] + edge_rows + [(901, "x" * 200_000 + " end"), (902, "ab" * 70_000), (900, "a֋b քx՘ \U0001df90 don't  <|endoftext|>\x1c y\u0085z")]
     got = Counter(map(tuple, token_counts(frame(spark, rows), BYTES, hot=500, summary=100).collect()))
     expected = Counter()
     for i, t in rows:
@@ -377,12 +398,39 @@ def test_multi_index_edges(spark):
     got = {}
     for r in nearest_neighbours(vectors, k=4, block_rows=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert got == {0: [(k + 1, 101 + 2 * k, 1.0) for k in range(4)], 20: [(1, 0, 0.5)] + [(k + 2, 101 + 2 * k, 0.5) for k in range(3)]}
+    twice = [(1, 0, 1.0)] + [(k + 2, 101 + 2 * k, 1.0) for k in range(3)]  # rows that repeat an id find each other
+    assert got == {0: sorted(twice * 2), 20: [(1, 0, 0.5), (2, 0, 0.5), (3, 101, 0.5), (4, 103, 0.5)]}
     assert nearest_neighbours(vectors.limit(0)).collect() == []
+    one = spark.createDataFrame([(k, [float(k % 50 + 1)]) for k in range(100)], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in nearest_neighbours(one, k=3).orderBy("query_id", "rank").collect()]
+    assert got[:3] == [(0, 1, 49, 50.0), (0, 2, 99, 50.0), (0, 3, 48, 49.0)] and len(got) == 15
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest_neighbours(few).collect()] == [(0, 1, 1, 4.0)]
 
 
+def test_multi_index_of_mostly_equal_vectors(spark):
+    """Every query gets 20 rows, those of the brute force, although nearly all vectors are one."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=8)
+    vectors = [same if k % 100 else rng.normal(size=8) for k in range(4000)]
+    frame = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(frame).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    x = np.array(vectors)
+    found = 0
+    for q in range(0, 4000, 20):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -score))[:20]
+        assert sorted(got[q]) == list(range(1, 21))
+        assert all(got[q][n][1] == (x[got[q][n][0]] * x[q]).sum() for n in got[q])
+        found += len({v for v, _ in got[q].values()} & set(best.tolist()))
+    assert found >= 0.9 * 20 * 200
+
+
 def test_toxicity(spark, edge_rows):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
@@ -403,7 +451,7 @@ def test_toxicity(spark, edge_rows):
 
 def test_hmm_base_and_counts(spark, edge_rows, real):
     rows = [(r.doc_id, r.text) for r in real.collect()] + edge_rows
-    got = hmm_scores(frame(spark, rows), own=64, suffixes=32, hot=200, rounds=2).collect()
+    got = hmm_scores(frame(spark, rows), own=0.5, suffixes=0.3, hot=200, rounds=2).collect()
     counts, texts = Counter(), []
     for i, t in rows:
         w = [*(t or "").encode().lower().split(), None]
@@ -441,16 +489,55 @@ def test_hmm_sample_and_first_states(spark):
 
     from rasterloom.llm.hmm_score import _first_states, _sample
 
-    texts = [np.full(30, 1, np.uint16)] * 200 + [np.array([k % 5, k, 9], np.uint16) for k in range(9)]
-    table = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "rid long, classes binary")
-    assert len({x.tobytes() for x in _sample(table, 10)}) == len(_sample(table, 10)) == 10
+    texts = [np.full(30, 1, np.uint32)] * 200 + [np.array([k % 5, k, 9], np.uint32) for k in range(9)]
+    table = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "classes binary")
+    assert len({(tuple(k), tuple(n)) for k, n in _sample(table, 10)}) == len(_sample(table, 10)) == 10
     prior = np.full(10, 0.1)
-    for sample in (texts[:20], texts[200:], texts[200:203], []):
+    counts = [np.unique(t, return_counts=True) for t in texts]
+    for sample in (counts[:20], counts[200:], counts[200:203], []):
         emit = _first_states(sample, prior, 8).emit
         assert np.isfinite(emit).all() and np.allclose(emit.sum(axis=0), 1)
         assert all(abs(emit[:, a] - emit[:, b]).max() > 1e-3 for a in range(8) for b in range(a))
 
 
+def test_hmm_score_by_hand(spark, real, monkeypatch):
+    """Scores recomputed text by text from the trained states, and a likelihood that rises by round."""
+    import numpy as np
+
+    from rasterloom.llm import hmm_score
+
+    kept, report = {}, []
+    trained = hmm_score.train
+    monkeypatch.setattr(hmm_score, "train", lambda *a, **o: kept.setdefault("model", trained(*a, **o)))
+    rows = [(r.doc_id, r.text) for r in real.collect()]
+    got = {r.doc_id: r.score for r in hmm_scores(frame(spark, rows), rounds=4, hot=300, report=report).collect()}
+    assert len(report) == 4 and all(a < b for a, b in zip(report, report[1:]))
+    model = kept["model"][0]
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in (t or "").encode().lower().split())
+    n_shared = int(2 * (len(counts) + 1) ** 0.5) + 1
+    n_own = len(model.emit) - n_shared - 1
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:n_own])}
+    weight = np.ones(n_shared)
+    for w, c in counts.items():
+        if w not in own:
+            weight[zlib.crc32(w[-3:]) % n_shared] += c + 1
+    for i, t in rows[:60]:
+        alpha, total = None, 0.0
+        for w in [*(t or "").encode().lower().split(), None]:
+            share = 1.0
+            if w is None:
+                k = len(model.emit) - 1
+            elif w in own:
+                k = own[w]
+            else:
+                slot = zlib.crc32(w[-3:]) % n_shared
+                k, share = n_own + slot, (counts[w] + 1) / weight[slot]
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[k]
+            total += math.log10(alpha.sum()) + math.log10(share)
+            alpha = alpha / alpha.sum()
+        assert abs(total - got[i]) < 1e-6 * max(1, abs(total)), i
+
+
 def test_forward_is_the_sum_over_all_paths():
     import itertools
 
