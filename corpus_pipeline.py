@@ -2,16 +2,21 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. All but
 the last return the columns of ``documents``.
+
+Edge cases: null texts count as empty; of all empty or blank texts the exact stage keeps one. Rows with
+a null ``doc_id`` take part and rank last; rows that repeat an id are decided each by itself. An empty table gives no sequences. Columns beyond
+those of ``documents`` are kept until packing, whatever their names.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm.common import materialize, table
 from rasterloom.llm.exact_dedup import keep_first
 from rasterloom.llm.jaccard_join import keep_one_of_each
-from rasterloom.llm.packing import best_fit_packing
+from rasterloom.llm.packing import packed_sequences
 from rasterloom.llm.span_dedup import remove_repeats
 from rasterloom.llm.toxicity import drop_toxic
 
@@ -36,9 +41,9 @@ def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return remove_repeats(docs)
 
 
-def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in training sequences."""
-    return best_fit_packing(docs)
+def training_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: SentencePiece ids of documents' pieces, with the documents that they are from."""
+    return packed_sequences(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
@@ -46,7 +51,7 @@ STAGES = [
     ("exact_dedup", distinct_documents),
     ("jaccard_join", dissimilar_documents),
     ("span_dedup", unrepeated_text),
-    ("packing", packed_sequences),
+    ("packing", training_sequences),
 ]
 
 #: Boosted trees and packing have no SQL form; the stages are tested against brute force.

@@ -16,7 +16,7 @@ from rasterloom.llm.hmm_score import hmm_scores
 from rasterloom.llm.jaccard_join import keep_one_of_each, similar_classes
 from rasterloom.llm.language_id import identify_language
 from rasterloom.llm.multi_index import nearest_neighbours, recall
-from rasterloom.llm.packing import best_fit_packing, default_cost, pack
+from rasterloom.llm.packing import best_fit_packing, default_cost, pack, packed_sequences
 from rasterloom.llm.sentencepiece_codec import codec, decoded, encoded, piece_digests
 from rasterloom.llm.span_dedup import remove_repeats, sentences, span_dedup
 from rasterloom.llm.token_counts import token_counts
@@ -293,6 +293,55 @@ def test_packing(spark, edge_rows, real):
     assert best_fit_packing(frame(spark, [])).collect() == []
 
 
+def plain_best_fit(lengths, capacities, cost):
+    """Best fit by looking at every open bin: the fullest that fits, of like ones the one changed last."""
+    best = None
+    for least in capacities:
+        bins, left, places = [], sum(lengths), []  # a bin: size, filled, last change
+        for now, n in enumerate(lengths):
+            fitting = [k for k, (size, filled, _) in enumerate(bins) if size - filled >= n]
+            if fitting:
+                k = min(fitting, key=lambda k: (bins[k][0] - bins[k][1], -bins[k][2]))
+            else:
+                bins.append([min((c for c in capacities if c >= max(n, least)), key=lambda c: (cost(c) / min(c, left), c)), 0, now])
+                k = len(bins) - 1
+            places.append((k, bins[k][1]))
+            bins[k][1:] = bins[k][1] + n, now
+            left -= n
+        sizes = [min((c for c in capacities if c >= filled), key=lambda c: (cost(c), c)) for _, filled, _ in bins]
+        if best is None or sum(map(cost, sizes)) < best[0]:
+            best = sum(map(cost, sizes)), places, sizes
+    return [(k, best[2][k], at) for k, at in best[1]]
+
+
+def test_pack_is_plain_best_fit():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(30):
+        lengths = sorted((rng.randrange(1, 65) for _ in range(rng.randrange(1, 120))), reverse=True)
+        bins, capacity, position = pack(np.array(lengths), (16, 32, 64))
+        assert list(zip(bins.tolist(), capacity.tolist(), position.tolist())) == plain_best_fit(lengths, (16, 32, 64), default_cost)
+
+
+def test_packed_sequences(spark, edge_rows, real):
+    """Each document's ids, put together again from the sequences, are those that it is encoded to."""
+    rows = [(r.doc_id, r.text) for r in real.collect()] + [(1000 + k, t) for k, (_, t) in enumerate(edge_rows)]
+    docs = frame(spark, rows)
+    found = {}
+    for r in packed_sequences(docs, PIECES, capacities=(64, 128, 256), group_pieces=100).collect():
+        ends = [*r.positions[1:], len(r.ids)]
+        assert r.positions[0] == 0 and len(r.ids) <= r.capacity and r.capacity in (64, 128, 256)
+        assert min([c for c in (64, 128, 256) if c >= len(r.ids)], key=default_cost) == r.capacity
+        for doc, piece, start, a, b in zip(r.doc_ids, r.pieces, r.starts, r.positions, ends, strict=True):
+            assert start == 256 * piece
+            found.setdefault(doc, {})[piece] = r.ids[a:b]
+    want = {r.doc_id: list(r.ids) for r in encoded(docs, PIECES).collect()}
+    assert {d: [x for k in sorted(p) for x in p[k]] for d, p in found.items()} == want
+    assert sum(r.length for r in best_fit_packing(docs, length=F.lit(300)).collect()) == 300 * len(rows)
+    assert packed_sequences(frame(spark, []), PIECES).collect() == []
+
+
 def test_pack_is_no_dearer_than_one_length():
     import numpy as np
 
