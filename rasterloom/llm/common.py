@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -156,6 +157,14 @@ def cleanup(spark: SparkSession) -> None:
         return
 
 
+def tidy() -> None:
+    """Give back the memory that an earlier task of this worker process has freed; to be called as a task begins."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, flat_list, materialize, mix, with_keys, without
+from .common import columns, discard, flat_list, materialize, mix, tidy, with_keys, without
 from .components import components
 from .shingles import WordHashes, shingle_runs, shingle_set, words_of
 
@@ -137,6 +137,7 @@ _SKETCHED = "uid long, doc_id long, key1 long, key2 long, n_shingles int, set_ke
 
 def _sketch(width: int, heavy, limit: Threshold):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         uid, hashes, seen = TaskContext.get().partitionId() << 33, WordHashes(), set()
         used: np.ndarray = heavy.value
         for batch in batches:

@@ -37,13 +37,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, tidy
 
 MARK = "▁"
 _RUN = re.compile(r"\w+|\W+")
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 _ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_")  # what words mostly end with
-_CACHED = 400_000
+_CACHED = 300_000
 _SHORT = 48
 _ROWS_AT_ONCE = 20_000
 _TEXT_AT_ONCE = 8 << 20
@@ -295,6 +295,7 @@ def codec(path: str) -> PieceCodec:
 
 def _encode(model: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         own = codec(model)
         gc.freeze()  # the codec and its cache make no cycles; walking them again and again takes a tenth of the time
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, columns, materialize, mix
+from .common import SPACE_BYTES, columns, materialize, mix, tidy
 
 _SPACE, _LINE, _STOP = (np.isin(np.arange(256), list(x)) for x in (SPACE_BYTES, b"\n\x0b\x0c\r", b".!?"))
 #: ``at`` is the first unit and the number of units, all bits turned where the batch has an earlier occurrence.
@@ -164,6 +164,7 @@ def _find(window: int, min_sentences: int, min_words: int):
         They keep nothing to be compared: their key is set to their document's, so that they
         spread out, and a span costs one comparable row a batch however common it is.
         """
+        tidy()
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
             raws = [_raw(t) for t in texts.to_pylist()]
@@ -243,6 +244,7 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cleaned(window: int):
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, text, n_sentences, n_removed, removed_bytes): the text without the units in ``ranges``."""
+        tidy()
         for batch in batches:
             rows, texts, ranges = columns(batch, "row", "text", "ranges")
             out, found = texts.to_pylist(), ranges.to_pylist()
