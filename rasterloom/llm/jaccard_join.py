@@ -104,6 +104,7 @@ def _folded(shingles: np.ndarray, band: int) -> bytes:
 def _heavy_slots(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slots of the hashed shingles that are far more used than the mean, in this task."""
+        tidy()
         total, hashes = np.zeros(_SLOTS, np.int64), WordHashes()
         for batch in batches:
             parts = []
@@ -221,6 +222,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingle sets of rows (uid, text); a row that is there again under the same uid is left out."""
+        tidy()
         hashes, done = WordHashes(), set()
         for batch in batches:
             uid, text = columns(batch, "uid", "text")
@@ -382,6 +384,7 @@ def _near(limit: Threshold, most: int):
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From rows sorted by (piece, i, j); the last run of a batch waits for the next."""
+        tidy()
         waiting: list[pa.RecordBatch] = []
         key = None
         for batch in batches:

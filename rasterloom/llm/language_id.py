@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, discard, materialize, small
+from .common import columns, discard, materialize, small, tidy
 
 _LETTER = re.compile(r"[^\W\d_]")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -115,6 +115,7 @@ def identify_language(docs: DataFrame, *, level: int = 9, min_margin: float = 0.
     dictionaries = docs.sparkSession.sparkContext.broadcast(learn_dictionaries(docs, **bounds))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         own = Classifier(dictionaries.value, level, min_margin)
         for batch in batches:
             ids, held, texts = columns(batch, "doc_id", "held_out", "text")

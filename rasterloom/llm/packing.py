@@ -158,6 +158,7 @@ def _tokens(model: str, longest: int):
                 ids = flat_list(np.frombuffer(b"".join(raw), "<i4"), length, pa.int32())
                 yield pa.RecordBatch.from_arrays([docs.slice(at, end - at).take(pa.array(row)), pa.array(keys[row]), pa.array(piece), pa.array(start), pa.array(length), ids], [f.split()[0] for f in _TOKENS.split(", ")])
                 at = end
+        own.forget()  # the worker process goes on to other stages
 
     return tokens
 
@@ -206,7 +207,7 @@ def best_fit_packing(docs: DataFrame, *, length: Column | None = None, capacitie
     return _dealt(pieces, group_pieces).groupBy("bin_group").applyInArrow(_pack_group(tuple(capacities), cost), _PACKED)
 
 
-def packed_sequences(docs: DataFrame, model: str, *, capacities: tuple[int, ...] = (512, 1024, 2048), cost: Callable[[int], float] = default_cost, group_pieces: int = 8192) -> DataFrame:
+def packed_sequences(docs: DataFrame, model: str, *, capacities: tuple[int, ...] = (512, 1024, 2048), cost: Callable[[int], float] = default_cost, group_pieces: int = 4096) -> DataFrame:
     """One row for each training sequence of the tokens of ``docs``.
 
     bin_group and bin (together the sequence's name), capacity (its permitted length, the rest of which

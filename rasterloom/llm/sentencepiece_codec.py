@@ -260,6 +260,10 @@ class PieceCodec:
             out[k] = b"".join([self._begin, *map(get, cut), self._end])
         return out
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.segments, self.older = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Ids of one text, as ``encode_many`` gives them."""
         return self.encode_many([text])[0]

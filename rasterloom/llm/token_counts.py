@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import TwoGenerations
-from .common import columns, discard, materialize, most_frequent
+from .common import columns, discard, materialize, most_frequent, tidy
 
 # Fixed value: the pre-token pattern of byte-level BPE tokenizers of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -137,6 +137,7 @@ def hot_table(docs: DataFrame, tokenizer: str, *, hot: int = 32_768, summary: in
 
 def _count(tokenizer: str, table, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         counting = _counting(tokenizer, table.value)
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")

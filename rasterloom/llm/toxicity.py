@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, flat_list, hash_sample, materialize
+from .common import columns, discard, flat_list, hash_sample, materialize, tidy
 
 # Insults in English, French, German and Spanish.
 INSULTS = """
@@ -334,6 +334,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) -> D
     learnt = docs.sparkSession.sparkContext.broadcast(_learn(docs, labels, max_rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         terms, model = learnt.value
         lexicon = Lexicon(terms)
         for batch in batches:
@@ -349,6 +350,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) ->
     learnt = docs.sparkSession.sparkContext.broadcast(_learn(docs, labels, max_rows))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         terms, model = learnt.value
         lexicon = Lexicon(terms)
         for batch in batches:
