@@ -1,7 +1,14 @@
-"""Service URLs, request parameters and their texts, as column expressions."""
+"""Service URLs, request parameters and their texts, as column expressions.
+
+What a task or a data source needs without a session is there a second time in plain Python
+(``plain_params``, ``plain_cache_key``), with the same texts.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +16,37 @@ from ..model import Crs, Format, ServiceType
 
 
 def number_text(value: Column) -> Column:
-    """A double in plain decimals, as short as it is exact, for magnitudes in [1e-4, 1e16)."""
-    return F.call_function("format_number", value, F.lit("0.0" + "#" * 20))
+    """A double in plain decimals, as short as it is exact, for magnitudes in [1e-4, 1e16).
+
+    Where a cast gives plain decimals it is used, as the general form costs some ten times as much.
+    """
+    size = F.abs(value)
+    return F.when((size >= 1e-3) & (size < 1e7), value.cast("string")).otherwise(F.call_function("format_number", value, F.lit("0.0" + "#" * 20)))
+
+
+def plain_number(value: float) -> str:
+    """``number_text`` of one number."""
+    text = format(Decimal(repr(float(value))), "f")
+    return text if "." in text else text + ".0"
+
+
+def plain_axes(crs: Crs) -> tuple[str, str]:
+    """``axis_labels`` of one system."""
+    return {Crs.BRITISH_GRID: ("E", "N"), Crs.WEB_MERCATOR: ("X", "Y")}.get(crs, ("Long", "Lat"))
+
+
+def plain_params(coverage_id: str, box: tuple[float, float, float, float], crs: Crs, fmt: str, width: int, height: int, version: str = "2.0.1") -> dict[str, list[str]]:
+    """``request_params`` of one tile."""
+    x, y = plain_axes(crs)
+    low_x, low_y, high_x, high_y = map(plain_number, box)
+    one = {"service": "WCS", "version": version, "request": "GetCoverage", "coverageId": coverage_id, "format": fmt, "width": str(width), "height": str(height), "subsettingCRS": crs.value}
+    return {k: [v] for k, v in one.items()} | {"subset": [f"{x}({low_x},{high_x})", f"{y}({low_y},{high_y})"]}
+
+
+def plain_cache_key(url: str, params: dict[str, list[str]], fmt: str, box: tuple[float, float, float, float], width: int, height: int) -> str:
+    """``cache_key`` of one tile."""
+    entries = "&".join(sorted(f"{k}={','.join(v)}" for k, v in params.items()))
+    return hashlib.sha256("|".join([url, entries, fmt, *map(plain_number, box), str(width), str(height)]).encode()).hexdigest()
 
 
 def axis_labels(crs: Column) -> tuple[Column, Column]:

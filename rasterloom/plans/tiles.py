@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError
@@ -103,34 +103,35 @@ def organised(plan: DataFrame, rows: int) -> DataFrame:
 def organised_by_place(tiles: DataFrame, rows: int, cols: int) -> DataFrame:
     """``tile_row`` and ``tile_col`` of tiles without plan indices, north to south, then west to east.
 
-    Ranks come from the distinct edges, not from one global sort of all tiles; a set that is no
-    full matrix is an error.
+    Ranks come from the distinct edges of each axis, of which there are rows and cols, so no window or sort
+    sees all tiles; a set that is no full matrix is an error.
     """
+    ys, xs = tiles.select("max_y").distinct(), tiles.select("min_x").distinct()
     found = tiles.agg(F.count(F.lit(1)).alias("n"), F.count("max_y").alias("boxes")).first()
     if found["boxes"] != found["n"]:
         raise InvalidRequestError("a tile has no box")
-    if found["n"] != rows * cols:
+    edges, places = (ys.count(), xs.count()), tiles.select("max_y", "min_x").distinct().count()
+    if edges != (rows, cols) or not found["n"] == places == rows * cols:
         raise InvalidRequestError(f"{found['n']} tiles don't make a matrix of {rows} x {cols}")
-    from pyspark.sql import Window
-
-    if rows * cols > 1_000_000:
-        raise InvalidRequestError("carry plan indices for a plan of this size (organised)")
-    order = Window.orderBy(F.desc("max_y"), "min_x")
-    place = F.row_number().over(order) - 1
-    return tiles.withColumn("__n", place).withColumn("tile_row", F.floor(F.col("__n") / cols).cast("int")).withColumn("tile_col", (F.col("__n") % cols).cast("int")).drop("__n")
+    rank = lambda order: (F.row_number().over(Window.orderBy(order)) - 1).cast("int")
+    placed = tiles.join(ys.withColumn("tile_row", rank(F.desc("max_y"))), "max_y").join(xs.withColumn("tile_col", rank(F.asc("min_x"))), "min_x")
+    return placed.select(*tiles.columns, "tile_row", "tile_col")
 
 
 def mosaic_offsets(plan: DataFrame, rows: int) -> DataFrame:
     """Pixel offsets of every tile of an organised plan.
 
-    Heights of the rows and widths of the columns are two aggregates of rows + cols values; each
-    tile's offset is a fold over them, so neither a window over all tiles nor one over pixels is
-    needed.
+    The running sums are over the heights of the rows and the widths of the columns, of which there are
+    rows + cols; tiles get them by two joins on their indices.
     """
     placed = organised(plan, rows)
-    sizes = placed.agg(F.array_sort(F.collect_set(F.struct("tile_row", "height"))).alias("hs"), F.array_sort(F.collect_set(F.struct("tile_col", "width"))).alias("ws"))
-    before = lambda pairs, key, n, size: F.aggregate(F.filter(pairs, lambda p: p[key] < n), F.lit(0).cast("long"), lambda acc, p: acc + p[size])
-    return placed.crossJoin(F.broadcast(sizes)).withColumn("row_off", before(F.col("hs"), "tile_row", F.col("tile_row"), "height")).withColumn("col_off", before(F.col("ws"), "tile_col", F.col("tile_col"), "width")).drop("hs", "ws")
+
+    def before(index: str, size: str, name: str) -> DataFrame:
+        order = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+        lines = placed.select(index, size).distinct()
+        return lines.select(index, F.coalesce(F.sum(size).over(order), F.lit(0)).cast("long").alias(name))
+
+    return placed.join(before("tile_row", "height", "row_off"), "tile_row").join(before("tile_col", "width", "col_off"), "tile_col").select(*placed.columns, "row_off", "col_off")
 
 
 def coordinate(low: Column, high: Column, n: Column, index: Column, *, descending: bool = False, centre: bool = False) -> Column:

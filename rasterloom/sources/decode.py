@@ -1,22 +1,24 @@
 """Decoders of tile bytes to two-dimensional arrays, and their registry.
 
-TIFF: strips or tiles, none or deflate compression, 8 to 64 bits, one or more samples a pixel.
-PNG: 8 and 16 bits, grey, RGB, palette and alpha. JPEG and other images on storage are read by
-Spark's image source (``decode_images``). The first band is returned.
+TIFF: strips or tiles, no compression, deflate, LZW or PackBits, with either predictor, 8 to 64 bits,
+one or more samples a pixel. PNG: 1 to 16 bits, grey, RGB, palette and alpha, interlaced or not. JPEG:
+baseline (``jpeg``). Images on storage are also read by Spark's image source (``decode_images``). The
+first band is returned.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import DecodeError
 from ..model import Format
+from .jpeg import decode_jpeg
 
 Decoder = Callable[[bytes], np.ndarray]
 _REGISTRY: dict[Format, Decoder] = {}
@@ -54,6 +56,67 @@ _FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "
 _KIND = {1: "u", 2: "i", 3: "f"}
 
 
+def _lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the longest bit first, that grow one code early."""
+    out, table, last = [], [], b""
+    held, n, width = 0, 0, 9
+    for byte in raw:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = [bytes([b]) for b in range(256)] + [b"", b""], b"", 9
+            continue
+        if not table or code > len(table) or (code == len(table) and not last):
+            raise DecodeError("damaged LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _packbits(raw: bytes) -> bytes:
+    """Runs of a byte, and stretches of bytes as they are."""
+    out, at = [], 0
+    while at + 1 < len(raw):
+        n = raw[at]
+        if n < 128:
+            out.append(raw[at + 1 : at + 2 + n])
+            at += 2 + n
+        elif n > 128:
+            out.append(raw[at + 1 : at + 2] * (257 - n))
+            at += 2
+        else:
+            at += 1
+    return b"".join(out)
+
+
+# TIFF compression schemes.
+_UNPACK: dict[int, Callable[[bytes], bytes]] = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
+def _block(data: bytes, dtype: np.dtype, rows: int, width: int, per: int, predictor: int) -> np.ndarray:
+    """Samples of a strip or tile with its predictor undone."""
+    if predictor == 3:  # differences of bytes; a row holds all samples' first bytes, then all second ones
+        size = dtype.itemsize
+        flat = np.frombuffer(data, np.uint8, rows * width * per * size).reshape(rows, -1, per)
+        whole = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, width * per)
+        return np.ascontiguousarray(whole.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, width, per)
+    block = np.frombuffer(data, dtype, rows * width * per).reshape(rows, width, per)
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
+    if predictor != 1:
+        raise DecodeError(f"TIFF predictor {predictor} is not supported")
+    return block
+
+
 def _fields(raw: bytes) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or len(raw) < 8 or struct.unpack(order + "H", raw[2:4])[0] != 42:
@@ -81,7 +144,7 @@ def tiff_samples(raw: bytes) -> np.ndarray:
         dtype = np.dtype(f"{_KIND[f.get(339, (1,))[0]]}{bits // 8}").newbyteorder(order)
     except (KeyError, struct.error, IndexError, TypeError) as e:
         raise DecodeError(f"unreadable TIFF: {e}") from e
-    if compression not in (1, 8, 32946):
+    if compression not in _UNPACK:
         raise DecodeError(f"TIFF compression {compression} is not supported")
     planar = f.get(284, (1,))[0] == 2
     per = 1 if planar else samples
@@ -93,17 +156,12 @@ def tiff_samples(raw: bytes) -> np.ndarray:
     out = np.zeros((down * bh, across * bw), dtype)
     predictor = f.get(317, (1,))[0]
     for k in range(across * down):
-        data = raw[offsets[k] : offsets[k] + sizes[k]]
+        rows = bh if 322 in f else min(bh, height - k * bh)
         try:
-            data = zlib.decompress(data) if compression != 1 else data
-        except zlib.error as e:
+            data = _UNPACK[compression](raw[offsets[k] : offsets[k] + sizes[k]])
+            block = _block(data, dtype, rows, bw, per, predictor)
+        except (zlib.error, ValueError) as e:
             raise DecodeError(f"damaged TIFF: {e}") from e
-        rows = bh if 322 in f else min(bh, height - k * bh)
-        block = np.frombuffer(data, dtype, rows * bw * per).reshape(rows, bw, per)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
-        elif predictor != 1:
-            raise DecodeError(f"TIFF predictor {predictor} is not supported")
         y, x = k // across * bh, k % across * bw
         out[y : y + rows, x : x + bw] = block[:, :, 0]
     return out[:height, :width].astype(dtype.newbyteorder("="))
@@ -151,17 +209,47 @@ def decode_png(raw: bytes) -> np.ndarray:
         flat = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
     except (struct.error, TypeError, zlib.error, ValueError) as e:
         raise DecodeError(f"unreadable PNG: {e}") from e
-    if depth not in (8, 16) or interlace or colour not in _CHANNELS:
-        raise DecodeError("interlaced PNGs and depths other than 8 and 16 are not supported")
-    step = _CHANNELS[colour] * depth // 8
-    lines = flat.reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.uint8)
-    for y in range(height):
+    if depth not in (1, 2, 4, 8, 16) or interlace > 1 or colour not in _CHANNELS:
+        raise DecodeError("not a PNG of the standard")
+    bits = _CHANNELS[colour] * depth
+    first = np.zeros((height, width), np.uint16)
+    at = 0
+    try:
+        for y0, x0, dy, dx in _ADAM7 if interlace else ((0, 0, 1, 1),):
+            rows, cols = -(-max(0, height - y0) // dy), -(-max(0, width - x0) // dx)
+            if not rows or not cols:
+                continue
+            stride = 1 + -(-cols * bits // 8)
+            lines = flat[at : at + rows * stride].reshape(rows, stride)
+            at += rows * stride
+            first[y0::dy, x0::dx] = _first_samples(_lines(lines, max(1, bits // 8)), cols, depth, _CHANNELS[colour])
+        if colour == 3:
+            return palette[first][:, :, 0].astype(np.float32)
+    except (ValueError, IndexError, TypeError) as e:
+        raise DecodeError(f"damaged PNG: {e}") from e
+    return (first * _SCALE.get(depth, 1)).astype(np.float32)
+
+
+# First row, first column and steps of the passes of an interlaced PNG.
+_ADAM7 = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+#: Grey of 2 and 4 bits is spread to 8; of 1 bit it stays 0 and 1.
+_SCALE = {2: 85, 4: 17}
+
+
+def _lines(lines: np.ndarray, step: int) -> np.ndarray:
+    out = np.zeros((len(lines), lines.shape[1] - 1), np.uint8)
+    above = np.zeros(lines.shape[1] - 1, np.uint8)
+    for y in range(len(lines)):
         out[y] = above = _unfiltered(lines[y, 0], lines[y, 1:], above, step)
-    samples = out.view(">u2") if depth == 16 else out
-    first = samples.reshape(height, width, -1)[:, :, 0]
-    return (palette[first][:, :, 0] if colour == 3 else first).astype(np.float32)
+    return out
+
+
+def _first_samples(lines: np.ndarray, cols: int, depth: int, channels: int) -> np.ndarray:
+    if depth < 8:
+        spread = np.unpackbits(lines, axis=1).reshape(len(lines), -1, depth)[:, :cols]
+        return spread @ (1 << np.arange(depth)[::-1])
+    samples = lines.view(">u2") if depth == 16 else lines
+    return samples.reshape(len(lines), cols, channels)[:, :, 0]
 
 
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -190,13 +278,17 @@ def decode_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Its bytes are blue, green, red and alpha; the red of colour images is returned, as the first
     channel of the file is.
     """
-    image = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
-    step, red = F.col("nChannels"), F.when(F.col("nChannels") >= 3, 2).otherwise(0)
-    hexed = F.hex("data")
-    byte = lambda i: F.conv(F.substring(hexed, (2 * (i * step + red) + 1).cast("int"), F.lit(2)), 16, 10).cast("float")
-    values = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), byte)
-    return image.select(F.col("origin").alias("path"), "width", "height", values.alias("values"))
+
+    def first_channel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, width, height, channels, data = (batch.column(k) for k in range(5))
+            flat = [np.frombuffer(d.as_buffer(), np.uint8)[2 if n >= 3 else 0 :: n].astype(np.float32) for d, n in zip(data, channels.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([path, width, height, pa.array(flat, pa.list_(pa.float32()))], ["path", "width", "height", "values"])
+
+    image = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    return image.mapInArrow(first_channel, "path string, width int, height int, values array<float>")
 
 
 register_decoder(Format.TIFF, decode_tiff)
 register_decoder(Format.PNG, decode_png)
+register_decoder(Format.JPEG, decode_jpeg)

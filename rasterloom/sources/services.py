@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError, MetadataError, UnknownServiceError
-from ..functions.requests import cache_key, request_params
+from ..functions.requests import cache_key, plain_params, request_params
 from ..model import ArrayRequest, BBox, Crs, Format, ServiceConfig, ServiceType
 from ..plans.tiles import grid_plan, organised, resolution_plan
 from . import metadata
@@ -108,8 +108,7 @@ class CoverageService:
     def get_coverage(self, coverage_id: str, bbox: BBox, width: int, height: int, *, output_format: Any = None, crs: Any = None, **params: Any) -> Response:
         """One image in one attempt; failures are values."""
         system, fmt = Crs.of(crs or bbox.crs), Format.of(output_format or self.output_format)
-        x, y = ("E", "N") if system is Crs.BRITISH_GRID else ("X", "Y") if system is Crs.WEB_MERCATOR else ("Long", "Lat")
-        found = {"service": ["WCS"], "version": [self.config.version], "request": ["GetCoverage"], "coverageId": [self._id(coverage_id)], "subset": [f"{x}({bbox.min_x},{bbox.max_x})", f"{y}({bbox.min_y},{bbox.max_y})"], "format": [fmt.value], "width": [str(width)], "height": [str(height)], "subsettingCRS": [system.value]}
+        found = plain_params(self._id(coverage_id), bbox.bounds, system, fmt.value, width, height, self.config.version)
         found |= {k: [str(v)] for k, v in params.items()}
         return fetch(Request(self.base_url, found, dict(self.config.headers), fmt.value, bbox.bounds, width, height, retries=0), self.transport)
 
