@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Crs
+
 BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
 
@@ -24,6 +26,12 @@ def valid_period(start: Column, end: Column) -> Column:
     return F.coalesce(end >= start, F.lit(True))
 
 
+def in_crs(geometries: DataFrame, crs: Crs) -> DataFrame:
+    """Geometries as they are; one whose column ``crs`` names another system is an error when it is read."""
+    other = F.raise_error(F.concat(F.lit(f"expected {crs.value}, found "), F.col("crs"))).cast("string")
+    return geometries.withColumn("crs", F.when(F.col("crs") == crs.value, F.col("crs")).otherwise(other))
+
+
 def intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of intersecting boxes, all columns of both sides.
 

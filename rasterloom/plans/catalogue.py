@@ -2,7 +2,8 @@
 
 The tables have no geometry, so boxes, points, tiles and documents are derived from ordinary
 columns: a line item is a point (quantity, price), an embedding an 8 x 8 tile, a page a service
-URL. Every query runs over its whole tables.
+URL. A query that reads tables runs over all of their rows. Plans, the synthetic coverage and the
+``*_cases`` queries read none: they list outcomes of fixed inputs.
 """
 
 from __future__ import annotations
@@ -356,15 +357,13 @@ def p18_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pixels.as_dtype(F.when((F.col("l_extendedprice") - 40000).between(-32768, 32767), F.rint(F.round(F.col("l_extendedprice") - 40000))).otherwise(F.lit(1e9)), "int16").alias("value"))
 
 
-@_query("""
-    SELECT label AS tile_row, (i // 8 + 8 * label)::bigint AS y_idx, (i % 8 + 8 * (vec_id % 3))::bigint AS x_idx, embedding[i + 1] AS value
-    FROM embeddings JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label, vec_id % 3) USING (vec_id), range(0, 64) t(i)""")
+@_query("SELECT (vec_id // 40 * 8 + i // 8)::bigint AS y_idx, (vec_id % 40 * 8 + i % 8)::bigint AS x_idx, embedding[i + 1] AS value FROM embeddings, range(0, 64) t(i)")
 def u1_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mosaic of 10 x 3 tiles, one embedding each."""
-    rows = _table(spark, sf_dir, "embeddings").withColumn("tile_col", (F.col("vec_id") % 3).cast("int"))
-    own = rows.groupBy(F.col("label").alias("tile_row"), "tile_col").agg(F.min_by("embedding", "vec_id").alias("values")).withColumn("width", F.lit(8)).withColumn("height", F.lit(8))
-    plan = tiles.mosaic_offsets(tiles.grid_plan(spark, BBox(0, 0, 24, 80), (8, 8), (10, 3)), 10)
-    return pixels.mosaic(own, plan).select(F.expr("y_idx div 8").cast("int").alias("tile_row"), "y_idx", "x_idx", "value")
+    """A mosaic of all embeddings, 40 tiles in a row."""
+    found = _table(spark, sf_dir, "embeddings")
+    rows = found.agg(F.floor(F.max("vec_id") / 40) + 1).first()[0]
+    own = found.select(F.floor(F.col("vec_id") / 40).cast("int").alias("tile_row"), (F.col("vec_id") % 40).cast("int").alias("tile_col"), F.col("embedding").alias("values"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return pixels.mosaic(own, tiles.mosaic_offsets(tiles.grid_plan(spark, BBox(0, 0, 40, rows), (8, 8), (rows, 40)), rows))
 
 
 _DOCUMENT = (
@@ -492,3 +491,291 @@ def s10_decode_png(spark: SparkSession, sf_dir: str) -> DataFrame:
         return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in grey))) + chunk(b"IEND", b"")
 
     return _decoded(spark, sf_dir, encode, decode.decode_png)
+
+
+# An 8 x 8 TIFF in two packings and a 16 x 16 JPEG of four flat blocks, as another encoder wrote them.
+_LZW_TIFF = "TU0AKgAAAAgADAEAAAMAAAABAAgAAAEBAAMAAAABAAgAAAECAAMAAAABAAgAAAEDAAMAAAABAAUAAAEGAAMAAAABAAEAAAERAAQAAAABAAAAsAEVAAMAAAABAAEAAAEWAAMAAAABAAgAAAEXAAQAAAABAAAAKwEaAAUAAAABAAAAoAEbAAUAAAABAAAAqAEoAAMAAAABAAEAAAAAAAAAAAAAAAEAAAABAAAAAQAAAAGAACBAADwUDwOCQYUQsUC+HC+GQ2HlCKFArxcrxWLRg8R08H+QH+PR+QwE"
+_PACKBITS_TIFF = "TU0AKgAAAAgADAEAAAMAAAABAAgAAAEBAAMAAAABAAgAAAECAAMAAAABAAgAAAEDAAMAAAABgAUAAAEGAAMAAAABAAEAAAERAAQAAAABAAAAsAEVAAMAAAABAAEAAAEWAAMAAAABAAgAAAEXAAQAAAABAAAAIAEaAAUAAAABAAAAoAEbAAUAAAABAAAAqAEoAAMAAAABAAEAAAAAAAAAAAAAAAEAAAABAAAAAQAAAAH9AP0H/QD9B/0o/S/9KP0v/VD9V/1Q/Vf9eP1//Xj9fw=="
+_JPEG = "/9j/4AAQSkZJRgABAgAAAQABAAD/2wBDAAgGBgcGBQgHBwcJCQgKDBQNDAsLDBkSEw8UHRofHh0aHBwgJC4nICIsIxwcKDcpLDAxNDQ0Hyc5PTgyPC4zNDL/wAALCAAQABABAREA/8QAHwAAAQUBAQEBAQEAAAAAAAAAAAECAwQFBgcICQoL/8QAtRAAAgEDAwIEAwUFBAQAAAF9AQIDAAQRBRIhMUEGE1FhByJxFDKBkaEII0KxwRVS0fAkM2JyggkKFhcYGRolJicoKSo0NTY3ODk6Q0RFRkdISUpTVFVWV1hZWmNkZWZnaGlqc3R1dnd4eXqDhIWGh4iJipKTlJWWl5iZmqKjpKWmp6ipqrKztLW2t7i5usLDxMXGx8jJytLT1NXW19jZ2uHi4+Tl5ufo6erx8vP09fb3+Pn6/9oACAEBAAA/APD69Qr1CvQK/9k="
+
+
+def _fixed(spark: SparkSession, sf_dir: str, name: str, key: str, samples: tuple[str, ...], fmt: Format, size: int) -> DataFrame:
+    """A row for each row of a table, with one of some fixed images, decoded by the format's registered decoder."""
+    image = F.element_at(F.array(*(F.unbase64(F.lit(s)) for s in samples)), (F.col(key) % len(samples) + 1).cast("int"))
+    read = decode.resolve_decoder(fmt)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            arrays = [read(raw).ravel() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.float32()))], ["key", "values"])
+
+    rows = _table(spark, sf_dir, name).select(F.col(key).cast("long").alias("key"), image.alias("raw")).mapInArrow(run, "key long, values array<float>")
+    return pixels.pixels_of(rows.withColumn("width", F.lit(size)), "key").withColumnRenamed("key", key)
+
+
+@_query("SELECT s_suppkey, (i // 8)::int AS r, (i % 8)::int AS c, (i // 16 * 40 + i % 8 // 4 * 7)::float AS value FROM supplier, range(0, 64) t(i)")
+def s9_decode_lzw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles packed by LZW and PackBits, not by our own encoder."""
+    return _fixed(spark, sf_dir, "supplier", "s_suppkey", (_LZW_TIFF, _PACKBITS_TIFF), Format.TIFF, 8)
+
+
+@_query("SELECT n_nationkey::bigint AS n_nationkey, (i // 16)::int AS r, (i % 16)::int AS c, (16 + 160 * (i // 128) + CASE WHEN i % 16 >= 8 THEN 80 - 16 * (i // 128) ELSE 0 END)::float AS value FROM nation, range(0, 256) t(i)")
+def s10_decode_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JPEG tiles, not by our own encoder."""
+    return _fixed(spark, sf_dir, "nation", "n_nationkey", (_JPEG,), Format.JPEG, 16)
+
+
+@_query(_SCAN_SQL + " WHERE r = 1 AND c IN (0, 3)")
+def s1_scan_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tiles of a coverage; the filter reaches the source, which makes no others."""
+    coverage.register(spark)
+    read = spark.read.format("coverage").options(url="synthetic://field", coverage_id="plane", bbox="0,0,400,150", rows=3, cols=4, width=16, height=8).load()
+    return pixels.pixels_of(read.filter("tile_row = 1 AND tile_col IN (0, 3)"), "tile_row", "tile_col")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all tasks share."""
+    import uuid
+
+    from ..sources.cache import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT r::int AS tile_row, c::int AS tile_col, (r + c) % 2 = 0 AS success, CASE WHEN (r + c) % 2 = 0 THEN (10 * r + c)::float END AS value FROM range(0, 3) t(r), range(0, 4) u(c)")
+def s4_cached_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a service that is down: those that the cache has are there, the others failed."""
+    import numpy as np
+
+    from ..model import ArrayRequest
+    from ..sources import cache
+    from ..sources.services import CoverageService
+
+    folder = _folder(spark, "cached-fetch")
+    request = ArrayRequest.of("file:///nowhere/wcs", (0, 0, 4, 3), coverage_id="c", chunk_size=(1, 1), grid_shape=(3, 4))
+    plan = CoverageService("file:///nowhere/wcs", coverage_id="c").tile_requests(spark, request)
+
+    def fill(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                cache.write(folder, row["cache_key"], decode.encode_tiff(np.full((1, 1), 10 * row["tile_row"] + row["tile_col"], np.float32)))
+            yield batch
+
+    plan.filter((F.col("tile_row") + F.col("tile_col")) % 2 == 0).select("cache_key", "tile_row", "tile_col").mapInArrow(fill, "cache_key string, tile_row int, tile_col int").count()
+    found = coverage.load_tiles(plan, cache_dir=folder, retries=0)
+    return found.select("tile_row", "tile_col", "success", F.nanvl(F.col("values")[0], F.lit(None).cast("float")).alias("value"))
+
+
+@_query("SELECT vec_id::varchar AS cache_key, (i // 8)::int AS r, (i % 8)::int AS c, embedding[i + 1] AS value FROM embeddings, range(0, 64) t(i)")
+def s6_cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings written to a cache as tiles in the tasks, read again as one scan, and decoded."""
+    from ..sources import cache
+
+    folder = _folder(spark, "cache-read")
+
+    def put(batches):
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                cache.write(folder, str(row["vec_id"]), decode.encode_tiff(np.array(row["embedding"], np.float32).reshape(8, 8)))
+            yield batch.select(["vec_id"])
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            arrays = [decode.decode_tiff(raw).ravel() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.float32()))], ["cache_key", "values"])
+
+    _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(put, "vec_id long").count()
+    entries = cache.entries(spark, "file://" + folder).mapInArrow(read, "cache_key string, values array<float>")
+    return pixels.pixels_of(entries.withColumn("width", F.lit(8)), "cache_key")
+
+
+@_query("SELECT n_name || '/' || n_nationkey::varchar AS name, n_nationkey % 3 > 0 AS saved, CASE WHEN n_nationkey % 3 > 0 THEN repeat(n_name, 3) END AS content FROM nation")
+def s8_save_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw responses written by the tasks, and read again; failed ones aren't written."""
+    from ..sources import cache
+
+    folder = _folder(spark, "saved-tiles")
+    rows = _table(spark, sf_dir, "nation").select(F.concat_ws("/", "n_name", F.col("n_nationkey").cast("string")).alias("name"), F.encode(F.repeat("n_name", 3), "UTF-8").alias("data"), (F.col("n_nationkey") % 3 > 0).alias("success"))
+    saved = spark.createDataFrame(cache.save_tiles(rows, folder).toArrow())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load("file://" + folder)
+    found = files.select(F.regexp_extract(F.url_decode("path"), r"([^/]+/[^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+    return saved.join(found, "name", "left")
+
+
+def _cases(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
+    """``name, outcome``: what each case gives, or the kind of error that it raises."""
+    found = []
+    for name, case in cases.items():
+        try:
+            found.append((name, str(case())))
+        except Exception as e:  # noqa: BLE001  the outcome is what is listed
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "name string, outcome string")
+
+
+def _expected(**outcomes: str) -> str:
+    rows = ", ".join("('" + name + "', '" + outcome.replace("'", "''") + "')" for name, outcome in outcomes.items())
+    return f"SELECT * FROM (VALUES {rows}) t(name, outcome)"
+
+
+_BOX = (0, 0, 512, 1024)
+
+
+@_query(_expected(chunk_default="(256, 256)", chunk_config="(128, 128)", chunk_explicit="(64, 64)", grid_inferred="(4, 2)", grid_config="(2, 3)", resolution_one="(4.0, 4.0)", format_explicit="image/png", format_config="image/jpeg", bbox_tuple="(1.0, 2.0, 3.0, 4.0) EPSG:27700", bbox_moved="EPSG:3857 111319", url="https://example.org/wcs", options="2.1.0 1 a", tile_options="coverage_id,headers,resolution,version"))
+def p14_default_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit values, then the configuration's, then the built-in ones."""
+    from ..model import ArrayRequest, ServiceConfig
+
+    config = ServiceConfig("https://example.org/wcs/", chunk_size=(128, 128), grid_shape=(2, 3), output_format=Format.JPEG, coverage_id="c", headers={"k": "v"})
+    of = ArrayRequest.of
+    return _cases(spark, {
+        "chunk_default": lambda: of("u", _BOX).chunk_size,
+        "chunk_config": lambda: of(config, _BOX).chunk_size,
+        "chunk_explicit": lambda: of(config, _BOX, chunk_size=(64, 64)).chunk_size,
+        "grid_inferred": lambda: of("u", _BOX, resolution=1).grid_shape,
+        "grid_config": lambda: of(config, _BOX).grid_shape,
+        "resolution_one": lambda: of("u", _BOX, resolution=4).resolution,
+        "format_explicit": lambda: of(config, _BOX, output_format="image/png").output_format.value,
+        "format_config": lambda: of(config, _BOX).output_format.value,
+        "bbox_tuple": lambda: f"{BBox.of((1, 2, 3, 4), 27700).bounds} {BBox.of((1, 2, 3, 4), 27700).crs.value}",
+        "bbox_moved": lambda: (lambda b: f"{b.crs.value} {round(b.max_x)}")(of("u", BBox(0, 0, 1, 1), "EPSG:3857").bbox),
+        "url": lambda: of(config, _BOX).service_url,
+        "options": lambda: (lambda o: f"{o['version']} {o['x']} {o['params']['p']}")(of(config, _BOX, version="2.1.0", x=1, params={"p": "a"}).options),
+        "tile_options": lambda: ",".join(sorted(ServiceConfig("u", resolution=1.0, coverage_id="c", headers={"k": "v"}).tile_options())),
+    })
+
+
+@_query(_expected(always="crs=EPSG:4326;service_type=WCS;service_url=u", known="coverage_id=c;crs=EPSG:4326;output_format=image/png;service_type=WCS;service_url=u", shape="(64, 48)", chunks="((24, 24, 16), (32, 16))", dims="('y', 'x')"))
+def p13_attribute_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes, shape and chunks of arrays that have not been fetched."""
+    from ..api import create_array
+    from ..model import ArrayRequest, ServiceType
+
+    text = lambda d: ";".join(f"{k}={v}" for k, v in sorted(d.items()))
+    array = create_array(spark, "synthetic://f/wcs", (0, 0, 48, 64), coverage_id="c", chunk_size=(32, 24), resolution=1)
+    return _cases(spark, {
+        "always": lambda: text(ArrayRequest.of("u", _BOX).attributes(ServiceType.WCS)),
+        "known": lambda: text(ArrayRequest.of("u", _BOX, coverage_id="c", output_format="image/png").attributes(ServiceType.WCS)),
+        "shape": lambda: array.shape,
+        "chunks": lambda: (lambda c: (tuple(sorted(c[0], reverse=True)), c[1]))(array.chunks),
+        "dims": lambda: array.dims,
+    })
+
+
+@_query(_expected(chunk_zero="InvalidRequestError", chunk_one="InvalidRequestError", grid_negative="InvalidRequestError", resolution_negative="InvalidRequestError", grid_disagrees="InvalidRequestError", box_flat="InvalidRequestError", crs_unknown="InvalidRequestError", crs_differs="InvalidRequestError", format_unknown="InvalidRequestError", tiles_missing="InvalidRequestError", tile_without_box="InvalidRequestError", geometry_in_other_crs="SparkRuntimeException", coverage_missing="InvalidRequestError", tiles_whole="4"))
+def f4_guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused: sizes, boxes, systems, formats, and plans that are no matrix."""
+    from ..model import ArrayRequest, ServiceConfig
+    from ..sources.services import CoverageService
+
+    of = ArrayRequest.of
+    plan = tiles.grid_plan(spark, BBox(0, 0, 2, 2), (1, 1), (2, 2))
+    geometry = spark.createDataFrame([("EPSG:4326",), ("EPSG:3857",)], "crs string")
+    return _cases(spark, {
+        "chunk_zero": lambda: of("u", _BOX, chunk_size=(0, 1)),
+        "chunk_one": lambda: of("u", _BOX, chunk_size=5),
+        "grid_negative": lambda: of("u", _BOX, grid_shape=(1, -1)),
+        "resolution_negative": lambda: of("u", _BOX, resolution=-1),
+        "grid_disagrees": lambda: of("u", _BOX, resolution=4, grid_shape=(9, 9)),
+        "box_flat": lambda: BBox(1, 0, 1, 5),
+        "crs_unknown": lambda: of("u", _BOX, "EPSG:1"),
+        "crs_differs": lambda: of(ServiceConfig("u", crs=Crs.WEB_MERCATOR), _BOX, "EPSG:4326"),
+        "format_unknown": lambda: of("u", _BOX, output_format="text/plain"),
+        "tiles_missing": lambda: tiles.organised_by_place(plan.filter("col < 1 OR south_row < 1"), 2, 2).count(),
+        "tile_without_box": lambda: tiles.organised_by_place(plan.withColumn("max_y", F.expr("CASE WHEN col = 0 THEN max_y END")), 2, 2).count(),
+        "geometry_in_other_crs": lambda: boxes.in_crs(geometry, Crs.WGS84).collect(),
+        "coverage_missing": lambda: CoverageService("http://x/wcs").tile_requests(spark, of("http://x/wcs", _BOX)),
+        "tiles_whole": lambda: tiles.organised_by_place(plan, 2, 2).count(),
+    })
+
+
+@_query(_expected(tiff="decode_tiff", png="decode_png", jpeg="decode_jpeg", none="DecodeError", explicit="len", wcs="CoverageService", wms="UnknownServiceError", by_query="WCS", by_path="WMTS", unknown="UnknownServiceError", contradicted="UnknownServiceError", registered="list"))
+def x3_registry_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoders and services by what is registered for them."""
+    from ..model import ServiceConfig, ServiceType
+    from ..sources import services
+
+    def registered() -> str:
+        services.register_service(ServiceType.WMTS)(lambda config, **options: [config])
+        try:
+            return type(services.get_service("https://x.org/wmts")).__name__
+        finally:
+            services._REGISTRY.pop(ServiceType.WMTS)
+
+    return _cases(spark, {
+        "tiff": lambda: decode.resolve_decoder("image/tiff").__name__,
+        "png": lambda: decode.resolve_decoder("image/png").__name__,
+        "jpeg": lambda: decode.resolve_decoder("image/jpeg").__name__,
+        "none": lambda: decode.resolve_decoder("image/gif"),
+        "explicit": lambda: decode.resolve_decoder("image/gif", len).__name__,
+        "wcs": lambda: type(services.get_service("https://x.org/wcs")).__name__,
+        "wms": lambda: services.get_service("https://x.org/wms"),
+        "by_query": lambda: services.detect_service_type("https://x.org/WMS?SERVICE=wcs").value,
+        "by_path": lambda: services.detect_service_type("https://x.org/a/wmts/b?service=odd").value,
+        "unknown": lambda: services.detect_service_type("https://x.org/a"),
+        "contradicted": lambda: services.get_service(ServiceConfig("u", service_type=ServiceType.WCS), "WMS"),
+        "registered": registered,
+    })
+
+
+def _service(spark: SparkSession, sf_dir: str):
+    """A coverage service of the regions: its transport answers from texts that are made of the table."""
+    from ..sources.services import CoverageService
+    from ..sources.transport import Response
+
+    names = {f"c{r['r_regionkey']}": r["r_name"] for r in _table(spark, sf_dir, "region").collect()}
+
+    def send(request):
+        asked = request.params["request"][0]
+        if asked == "GetCapabilities":
+            inner = "".join(f"<CoverageSummary><CoverageId>{k}</CoverageId><Title>{v}</Title></CoverageSummary>" for k, v in names.items())
+            return Response(f"<Capabilities><Contents>{inner}</Contents></Capabilities>".encode(), "text/xml", 200, {}, request.url, True)
+        name = request.params["coverageId"][0]
+        if name not in names:
+            return Response(b"", "", 404, {}, request.url, False, "HTTP 404")
+        if asked == "DescribeCoverage":
+            return Response(f"<CoverageDescription><name>{names[name]}</name><CoverageId>{name}</CoverageId></CoverageDescription>".encode(), "text/xml", 200, {}, request.url, True)
+        return Response(names[name].encode(), "image/tiff", 200, {}, request.url, True)
+
+    return CoverageService("https://example.org/wcs", coverage_id="c1", transport=send), names
+
+
+@_query("SELECT 'c' || r_regionkey::varchar AS identifier, r_name AS title FROM region")
+def s11_get_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a service's capabilities list."""
+    return _service(spark, sf_dir)[0].get_capabilities(spark).select(F.explode("coverages").alias("c")).select("c.identifier", "c.title")
+
+
+@_query("SELECT 'c' || r_regionkey::varchar AS identifier, r_name AS title, CASE WHEN r_regionkey < 3 THEN r_name ELSE 'HTTP 404' END AS content FROM region")
+def s13_get_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions and one-shot coverages; a failed one is a value."""
+    own, names = _service(spark, sf_dir)
+    found = []
+    for name in names:
+        row = own.describe_coverage(spark, name).first()
+        got = own.get_coverage(name if name < "c3" else "none", BBox(0, 0, 1, 1), 4, 4)
+        found.append((row["identifier"], row["title"], got.data.decode() if got.success else got.error_message))
+    return spark.createDataFrame(found, "identifier string, title string, content string")
+
+
+@_query("SELECT * FROM (VALUES ('utm_axis', 500000, 0), ('utm_equator', 833979, 0), ('utm_tower', 630084, 4833439), ('mercator', 222639, 6446276), ('utm_back', 1661, 4364), ('british_back', 172, 5266)) t(name, x, y)")
+def p9_control_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published points in projected systems, in whole metres, and back in hundredths of a degree."""
+    there = [("utm_axis", 15.0, 0.0, Crs.UTM_33N), ("utm_equator", 18.0, 0.0, Crs.UTM_33N), ("utm_tower", -79.387139 + 96, 43.642567, Crs.UTM_33N), ("mercator", 2.0, 50.0, Crs.WEB_MERCATOR)]
+    back = [("utm_back", 630084.0, 4833438.6, Crs.UTM_33N), ("british_back", 651409.903, 313177.270, Crs.BRITISH_GRID)]
+    points = spark.createDataFrame([(n, x, y) for n, x, y, _ in there + back], "name string, px double, py double")
+    whole = lambda v: F.round(v).cast("int")
+    x = y = F.lit(None)
+    for n, _, _, crs in there:
+        u, v = crs_fn.reproject(F.col("px"), F.col("py"), Crs.WGS84, crs)
+        x, y = F.when(F.col("name") == n, whole(u)).otherwise(x), F.when(F.col("name") == n, whole(v)).otherwise(y)
+    for n, _, _, crs in back:
+        u, v = crs_fn.reproject(F.col("px"), F.col("py"), crs, Crs.WGS84)
+        x, y = F.when(F.col("name") == n, whole(u * 100)).otherwise(x), F.when(F.col("name") == n, whole(v * 100)).otherwise(y)
+    return points.select("name", x.alias("x"), y.alias("y"))

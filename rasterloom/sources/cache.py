@@ -7,12 +7,25 @@ that write one key leave one whole file.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidRequestError
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A path that is mounted on the driver and wherever tasks run: ``spark.checkpoint.dir``; on a local master a temporary folder will do."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at and at.startswith(("/", "file:")):
+        return "/" + at.removeprefix("file:").strip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise InvalidRequestError("set spark.checkpoint.dir to a folder that is mounted everywhere")
+    return tempfile.mkdtemp(prefix="rasterloom-")
+
 
 def _path(folder: str, key: str) -> Path:
     return Path(folder) / f"{key}.tile"
