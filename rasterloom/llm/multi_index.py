@@ -279,7 +279,7 @@ def _search(k: int):
             rows, ids, cells = (entries.column(c).to_numpy() for c in ("row", "vec_id", "cell"))
             names, first = np.unique(cells, return_index=True)
             bounds = {c: (a, b) for c, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(cells)], strict=True)}
-            for part in queries.combine_chunks().to_batches(max_chunksize=256):
+            for part in queries.combine_chunks().to_batches(max_chunksize=1024):
                 query, query_id, q, wanted = columns(part, "query", "query_id", "q", "cells")
                 at, e, score = chosen(x, rows, ids, bounds, _matrix(q), query.to_numpy(), [w.values.to_numpy() for w in wanted])
                 at = pa.array(at)
@@ -309,7 +309,7 @@ def _scan(queries: list[tuple[int, np.ndarray]], k: int):
     return scan
 
 
-def nearest_neighbours(vectors: DataFrame, *, k: int = 20, every: int = 20, sample_rows: int = 20_000, tune_queries: int = 64, target: float = 0.97, block_rows: int = 4096, block_queries: int = 8192) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, *, k: int = 20, every: int = 20, sample_rows: int = 20_000, tune_queries: int = 64, target: float = 0.94, block_rows: int = 4096, block_queries: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id ``every`` divides.
 
     ``target`` is the recall that the share of entries to look at is tuned to.

@@ -432,9 +432,10 @@ def test_language_id(spark, edge_rows, real):
     assert {r.lang_pred for r in identify_language(frame(spark, edge_rows).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_multi_index(spark):
-    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    found = nearest_neighbours(vectors, block_rows=64, block_queries=8)
+@pytest.mark.parametrize(("scale", "options"), [("sf0.001", {"block_rows": 64, "block_queries": 8}), ("sf0.01", {}), ("sf0.1", {})])
+def test_multi_index(spark, scale, options):
+    vectors = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
+    found = nearest_neighbours(vectors, **options).cache()
     assert found.count() == 20 * vectors.filter("vec_id % 20 = 0").count()
     assert recall(found, vectors) >= 0.9
 
