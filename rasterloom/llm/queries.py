@@ -82,6 +82,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::varchar[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles
+            FROM w),
+        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        l AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+        SELECT s.doc_id, len(shingles)::bigint AS n_shingles, least_id AS component_id
+        FROM s JOIN (SELECT x, min(y) AS least_id FROM r GROUP BY x) ON s.doc_id = x""",
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

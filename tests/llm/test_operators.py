@@ -78,6 +78,19 @@ def test_exact_dedup_of_nothing(spark):
     assert keep_first(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op8_jaccard_join"])
+def test_oracles(spark, name):
+    import duckdb
+
+    from rasterloom.llm import queries
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got = queries.QUERIES[name](spark, SMALL)
+    want = duck.execute(queries.ORACLES[name]).fetchdf().to_dict("records")
+    assert Counter(tuple(r.asDict()[c] for c in sorted(got.columns)) for r in got.collect()) == Counter(tuple(r[c] for c in sorted(r)) for r in want)
+
+
 def brute_classes(rows):
     sets = []
     for _, t in rows:
@@ -432,6 +445,45 @@ def test_language_id(spark, edge_rows, real):
     assert {r.lang_pred for r in identify_language(frame(spark, edge_rows).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_dictionaries_and_sizes(spark, real):
+    """Dictionaries from plain counts, and every answer from compressing each text with each dictionary."""
+    import zstandard
+
+    from rasterloom.llm.language_id import learn_dictionaries
+
+    made = learn_dictionaries(real)
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower()).strip()
+    texts = {}
+    for r in real.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            texts.setdefault(r.lang, set()).add(r.text)
+    assert set(made) == set(texts)
+    for lang, own in texts.items():
+        found = Counter(w.encode() for t in own for w in set(plain(t).split()))
+        words = sorted((w for w, n in found.items() if n > 1 or len(own) < 8), key=lambda w: (-found[w], w))
+        whole = b" ".join(reversed(words))
+        assert whole.endswith(made[lang]) and (made[lang] == whole or 112_640 - 200 < len(made[lang]) <= 112_640)
+    coders = [(rank, lang, zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for rank, (lang, raw) in enumerate(made.items())]
+    got = {r.doc_id: r for r in identify_language(real).collect()}
+    for r in real.collect():
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = sorted((len(c.compress(plain(r.text).encode())), rank, lang) for rank, lang, c in coders)
+        margin = 1 - sizes[0][0] / sizes[1][0]
+        assert got[r.doc_id].lang_pred == sizes[0][2] and got[r.doc_id].rejected == (margin < 0.01)
+        assert abs(got[r.doc_id].score - margin / (margin + 0.01)) < 1e-12
+
+
+def test_language_of_repeated_ids(spark):
+    """An id that many rows repeat counts once, in the sample and in the dictionary."""
+    from rasterloom.llm.language_id import learn_dictionaries
+
+    rows = [(1, f"uno dos tres {'cuatro' if k == 7 else ''}", "es") for k in range(500)] + [(k, f"one two three {k}", "en") for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn_dictionaries(docs) == {"es": b"uno tres dos", "en": b"two three one"}
+
+
 @pytest.mark.parametrize(("scale", "options"), [("sf0.001", {"block_rows": 64, "block_queries": 8}), ("sf0.01", {}), ("sf0.1", {})])
 def test_multi_index(spark, scale, options):
     vectors = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
@@ -499,6 +551,48 @@ def test_toxicity(spark, edge_rows):
     assert drop_toxic(frame(spark, edge_rows), nothing).count() == len(edge_rows)
 
 
+def test_trees_against_a_plain_walk():
+    """Raw scores by walking each tree node by node, calibration by hand."""
+    import numpy as np
+
+    from rasterloom.llm.toxicity import BoostedTrees, ToxicityModel
+
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 4)).astype(np.float32)
+    x[:, 3] = x[:, 3] > 0.9
+    y = ((x[:, 0] > 0.6) & (x[:, 1] < 0.5) | (x[:, 3] > 0)).astype(float)
+    model = ToxicityModel.fit(x, y)
+    trees: BoostedTrees = model.trees
+    for row in x[:50]:
+        raw = trees.base
+        for feature, cut, value in trees.trees:
+            node = 1
+            while feature[node] >= 0:
+                k = feature[node]
+                place = sum(1 for e in trees.edges[k] if e <= row[k])
+                node = 2 * node + (place > cut[node])
+            raw += value[node]
+        assert abs(raw - trees.raw(row[None])[0]) < 1e-9
+        right = next((i for i, a in enumerate(model.at) if a >= raw), len(model.at))
+        if right in (0, len(model.at)):
+            want = model.rate[min(right, len(model.at) - 1)]
+        else:
+            share = (raw - model.at[right - 1]) / (model.at[right] - model.at[right - 1])
+            want = model.rate[right - 1] + share * (model.rate[right] - model.rate[right - 1])
+        assert abs(model.score(row[None])[0] - want) < 1e-9
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.97 and all(a <= b for a, b in zip(model.rate, model.rate[1:]))
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Rows that repeat a labelled id are learnt from once, and scored each alike."""
+    rng = random.Random(11)
+    rows = [(k, ("you idiot moron trash " if k % 2 else "") + words(rng, 30)) for k in range(1, 400)]
+    rows += [(1, rows[0][1])] * 300 + [(None, rows[0][1])]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 400)] + [(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(r.predicted == (r.doc_id or 1) % 2 for r in got)
+
+
 def test_hmm_base_and_counts(spark, edge_rows, real):
     rows = [(r.doc_id, r.text) for r in real.collect()] + edge_rows
     got = hmm_scores(frame(spark, rows), own=0.5, suffixes=0.3, hot=200, rounds=2).collect()
