@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import UnknownServiceError
+from .errors import InvalidRequestError, UnknownServiceError
 from .model import ArrayRequest, ServiceConfig, ServiceType
 from .operators.pixels import as_dtype, mosaic, nan_count, nan_mean
 from .plans.tiles import coordinate, grid_plan, mosaic_offsets, resolution_plan
@@ -19,7 +19,10 @@ from .sources.transport import Transport
 
 
 class CoverageArray:
-    """A lazy array with dimensions (y, x); tiles are fetched when a result is asked for."""
+    """A lazy array with dimensions (y, x); tiles are fetched when a result is asked for.
+
+    Each result fetches the tiles anew, unless they are in the cache folder or kept by ``persist``.
+    """
 
     dims = ("y", "x")
 
@@ -43,6 +46,28 @@ class CoverageArray:
         cols = self._plan.select("tile_col", "width").distinct().orderBy("tile_col").collect()
         return tuple(r[1] for r in rows), tuple(c[1] for c in cols)
 
+    def get_shape(self) -> tuple[int, int]:
+        return self.shape
+
+    def get_dtype(self) -> str:
+        return self.dtype
+
+    def persist(self) -> CoverageArray:
+        """Keep the tiles on the executors after the first result; ``unpersist`` lets them go."""
+        self._tiles = self._tiles.persist()
+        return self
+
+    def unpersist(self) -> CoverageArray:
+        self._tiles = self._tiles.unpersist()
+        return self
+
+    def set_data(self, tiles: DataFrame) -> CoverageArray:
+        """This array with other samples: a row for each tile of the plan, with the columns of ``tiles``."""
+        missing = set(self._tiles.columns) - set(tiles.columns)
+        if missing:
+            raise InvalidRequestError(f"tiles without {sorted(missing)}")
+        return CoverageArray(self._spark, self.request, tiles.select(*self._tiles.columns), self.attrs, self.dtype)
+
     def tiles(self) -> DataFrame:
         """A row for each tile, with its samples."""
         return self._tiles

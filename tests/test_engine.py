@@ -387,6 +387,18 @@ def test_array_over_http_with_cache(spark, server, tmp_path):
     assert len(list(tmp_path.glob("*.tile"))) == 4
 
 
+def test_kept_and_replaced_tiles(spark, server):
+    _Handler.seen.clear()
+    array = create_array(spark, f"{server}/wcs", (0, 0, 4, 4), coverage_id="c1", chunk_size=(2, 2), grid_shape=(2, 2)).persist()
+    assert array.mean() == 7.0 and array.process("sum") == 112.0 and array.null_count() == 0
+    assert len(_Handler.seen) == 4 and array.get_shape() == (4, 4) and array.get_dtype() == "float32"
+    twice = array.set_data(array.tiles().withColumn("values", F.transform("values", lambda v: v * 2)))
+    assert twice.mean() == 14.0 and (twice.compute() == 14).all()
+    with pytest.raises(InvalidRequestError):
+        array.set_data(array.tiles().drop("values"))
+    array.unpersist()
+
+
 def test_failed_tiles_are_nan(spark, server):
     got = load_array(spark, f"{server}/missing/wcs", (0, 0, 4, 4), coverage_id="c1", chunk_size=(4, 4))
     assert got.shape == (4, 4) and np.isnan(got).all()
