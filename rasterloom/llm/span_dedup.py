@@ -11,8 +11,8 @@ such a span, whatever surrounds it. Spans meet globally by the 128-bit hash of t
 document order the first occurrence stays, and the units that any other occurrence covers are
 removed. Words compare with A-Z in lower case. Units are what ``n_sentences`` counts.
 
-Occurrences that an Arrow batch already knows to be later ones are decided there, so of a hot
-span at most one occurrence a batch reaches the global comparison.
+Occurrences that some megabytes of texts in a row already show to be later ones are decided there, so
+of a hot span at most one occurrence for each such stretch reaches the global comparison.
 
 Edge cases: null stays null and an empty text empty; both have no sentences. ``doc_id`` gives
 the order of documents, nulls last. Rows repeated with one ``doc_id`` and one text are one
@@ -25,9 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,7 @@ _SPANS = "key1 long, key2 long, doc_id long, text_key long, at long"
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 _NO_ID = (1 << 63) - 1
 _PART = 1 << 19  # bytes of texts that are cut at once
+_SLICE = 1 << 23  # and whose spans are compared with each other before the shuffle
 _ROWS = 1 << 18  # rows of an Arrow batch of spans
 
 
@@ -157,6 +160,15 @@ def _raw(text: str | None) -> bytes | None:
     return None if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``_SLICE`` bytes of texts, whose spans are held at once."""
+    size = pc.binary_length(columns(batch, "text")[0]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // _SLICE)) + 1).tolist(), len(size)]
+    for a, b in pairwise(cuts):
+        if a < b or not len(size):
+            yield batch.slice(a, b - a)
+
+
 def _find(window: int, min_sentences: int, min_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All spans; those that the batch itself has earlier are known to be later ones.
@@ -165,7 +177,7 @@ def _find(window: int, min_sentences: int, min_words: int):
         spread out, and a span costs one comparable row a batch however common it is.
         """
         tidy()
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             ids, texts = columns(batch, "doc_id", "text")
             raws = [_raw(t) for t in texts.to_pylist()]
             keys = [_text_key(x) for x in raws]
