@@ -7,6 +7,8 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,22 +52,22 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, *, batch: int | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Lineage ends there: a lost executor costs a read of the table, no recomputation. Values
     which are not functions of the row alone (row numbers) are fixed from then on. Spark deletes the
     shuffle files of the write as it ends. Tables are deleted by ``discard`` as soon as what needs them
-    has been written itself, else when the session ends or by ``cleanup``.
+    has been written itself, else when the session ends or by ``cleanup``. ``batch`` bounds the rows of the
+    Arrow batches that the write's tasks hold.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _set(spark, {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     app = spark.sparkContext.applicationId
     if app not in _TABLES:
         _TABLES[app] = []
@@ -76,6 +78,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def again(table: DataFrame) -> DataFrame:
     """A table of ``materialize`` read anew, with columns of its own, for plans that read it twice."""
     return table.sparkSession.read.schema(table.schema).parquet(table.scratch_path)

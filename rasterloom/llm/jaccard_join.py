@@ -55,6 +55,7 @@ _SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
 _BLOCK = 512  # nodes of a bucket that are compared at once
 _VISITORS = 1024  # and others that visit them
 _PAIRS = 1 << 20
+_TEXTS = 2000  # of an Arrow batch
 _EMPTY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -124,7 +125,7 @@ def _heavy(texts: DataFrame, width: int) -> np.ndarray:
 
     Its size is fixed. It only orders pieces, so leaving slots out costs candidates, never a link.
     """
-    slots = materialize(texts.mapInArrow(_heavy_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    slots = materialize(texts.mapInArrow(_heavy_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots", batch=_TEXTS)
     total = slots.agg(F.sum("n")).first()[0] or 0
     used = slots.filter(F.col("n") > 4 * total / _SLOTS).select("slot", F.ceil(F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toArrow()
     discard(slots)
@@ -278,7 +279,7 @@ class _Sets:
         keyed = materialize(self._sketched.join(wanted, "uid", "left_semi").select("uid", "key1", "key2"), "wanted")
         if not keyed.isEmpty():
             found = self._docs.select("key1", "key2", "text").join(keyed.hint("shuffle_hash"), ["key1", "key2"]).select("uid", "text")
-            self._parts.append(materialize(found.mapInArrow(_sets(self._width), "uid long, shingles binary"), "sets"))
+            self._parts.append(materialize(found.mapInArrow(_sets(self._width), "uid long, shingles binary"), "sets", batch=_TEXTS))
         discard(keyed)
         out = self._parts[0]
         for part in self._parts[1:]:
@@ -435,7 +436,7 @@ def _classes(docs: DataFrame, width: int, limit: Threshold) -> DataFrame:
     """
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(_heavy(docs.select("text"), width))
-    wide = materialize(docs.mapInArrow(_sketch(width, heavy, limit), _SKETCHED), "sketches")
+    wide = materialize(docs.mapInArrow(_sketch(width, heavy, limit), _SKETCHED), "sketches", batch=_TEXTS)
     heavy.unpersist()
     entered = wide.select(F.explode("pieces").alias("piece"), "uid", F.col("n_shingles").alias("n")).repartition("piece").sortWithinPartitions("piece", "uid")
     buckets = materialize(entered.mapInArrow(_shared, _SHARED), "buckets")

@@ -296,7 +296,7 @@ def _apply(docs: DataFrame, window: int, **options) -> DataFrame:
 
     Rows are kept together as one value, so that no column of theirs can clash with one of ours.
     """
-    ranges = materialize(repeated_ranges(docs, window=window, **options), "repeats")
+    ranges = materialize(repeated_ranges(docs, window=window, **options), "repeats", batch=4000)
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = rows.schema["row"]
     keyed = rows.mapInArrow(_with_key, T.StructType([*rows.schema.fields, T.StructField("text_key", T.LongType())]))
