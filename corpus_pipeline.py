@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.common import materialize, table
+from rasterloom.llm.common import discard, materialize, table
 from rasterloom.llm.exact_dedup import keep_first
 from rasterloom.llm.jaccard_join import keep_one_of_each
 from rasterloom.llm.packing import packed_sequences
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is a table that the next one reads."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
