@@ -122,7 +122,7 @@ POINTS = [
     (Crs.WEB_MERCATOR, 2.0, 50.0, 222638.981586547, 6446275.841017158, 1e-3),
     (Crs.UTM_33N, 15.0, 0.0, 500000.0, 0.0, 1e-6),
     (Crs.UTM_33N, 18.0, 0.0, 833978.5569194595, 0.0, 1e-3),
-    (Crs.BRITISH_GRID, 1.716073973, 52.658007833, 651409.903, 313177.270, 25.0),
+    (Crs.BRITISH_GRID, 1.716073973, 52.658007833, 651409.903, 313177.270, 5.0),
 ]
 
 
