@@ -779,3 +779,53 @@ def p9_control_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         u, v = crs_fn.reproject(F.col("px"), F.col("py"), crs, Crs.WGS84)
         x, y = F.when(F.col("name") == n, whole(u * 100)).otherwise(x), F.when(F.col("name") == n, whole(v * 100)).otherwise(y)
     return points.select("name", x.alias("x"), y.alias("y"))
+
+
+@_query("SELECT y::int AS y, x::int AS x, ((x + 0.5::double) + 1000 * (12 - y - 0.5::double))::float AS value FROM range(0, 12) t(y), range(0, 10) u(x)")
+def s2_load_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small array loaded at once, as rows."""
+    from ..api import load_array
+
+    found = load_array(spark, "synthetic://field/wcs", (0, 0, 10, 12), coverage_id="plane", chunk_size=(4, 5), resolution=1)
+    rows = [(y, x, float(v)) for y, line in enumerate(found) for x, v in enumerate(line)]
+    return spark.createDataFrame(rows, "y int, x int, value float")
+
+
+@_query(_expected(first_time="True 1", third_time="True 3", never="False 4 HTTP 500: busy", no_retry="False 1 HTTP 500: busy", report="False 1 <E/>", no_url="InvalidRequestError", no_params="InvalidRequestError", unknown_scheme="InvalidRequestError", missing_file="False 0"))
+def s3_fetch_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetching with retries: outcomes, with the number of attempts."""
+    from ..sources.transport import Request, Response, fetch
+
+    def attempt(fail: int, retries: int = 3, kind: str = "image/tiff") -> str:
+        seen = []
+
+        def send(request):
+            seen.append(request)
+            if len(seen) <= fail:
+                return Response(b"", "", 500, {}, request.url, False, "HTTP 500: busy")
+            return Response(b"<E/>", kind, 200, {}, request.url, True)
+
+        got = fetch(Request("http://x", {"a": ["1"]}, {}, "image/tiff", retries=retries), send)
+        return " ".join(filter(None, [str(got.success), str(len(seen)), got.error_message]))
+
+    return _cases(spark, {
+        "first_time": lambda: attempt(0),
+        "third_time": lambda: attempt(2),
+        "never": lambda: attempt(9),
+        "no_retry": lambda: attempt(9, 0),
+        "report": lambda: attempt(0, 3, "text/xml"),
+        "no_url": lambda: fetch(Request("", {"a": ["1"]})),
+        "no_params": lambda: fetch(Request("http://x", {})),
+        "unknown_scheme": lambda: fetch(Request("gopher://x", {"a": ["1"]})),
+        "missing_file": lambda: (lambda r: f"{r.success} {r.status_code}")(fetch(Request("file:///nowhere", {"file": ["x"]}, retries=0))),
+    })
+
+
+@_query("SELECT n_nationkey, ['EPSG:3857', 'EPSG:27700', 'EPSG:4326', 'EPSG:4326'][n_nationkey % 4 + 1] AS native_crs, CASE WHEN n_nationkey % 4 < 3 THEN n_name END AS title FROM nation")
+def r11_native_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native systems: named, by URI, unknown (the default), and absent."""
+    declared = F.element_at(F.array(F.lit("EPSG:3857"), F.lit("http://www.opengis.net/def/crs/EPSG/0/27700"), F.lit("EPSG:9999"), F.lit("")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    name = F.when(F.col("n_nationkey") % 4 < 3, F.concat(F.lit("<name> "), F.col("n_name"), F.lit("</name>"))).otherwise(F.lit("<name/>"))
+    xml = F.concat(F.lit("<CoverageDescription>"), name, F.lit("<CoverageId>c</CoverageId><NativeCRS>"), declared, F.lit("</NativeCRS><Envelope><lowerCorner>0 0</lowerCorner><upperCorner>1 1</upperCorner></Envelope></CoverageDescription>"))
+    found = metadata.coverage_descriptions(_table(spark, sf_dir, "nation").select("n_nationkey", xml.alias("xml")))
+    return found.select("n_nationkey", F.col("spatial_extent.crs").alias("native_crs"), "title")
