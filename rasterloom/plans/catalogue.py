@@ -254,7 +254,7 @@ def p9_reproject_3857(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("c_custkey", F.round("mx", 4).alias("x"), F.round("my", 4).alias("y"), F.round(lon, 8).alias("lon_back"), F.round(lat, 8).alias("lat_back"))
 
 
-@_query("SELECT c_custkey, round(0.0004 * (c_custkey % 1000) + 12, 7) AS lon, round(0.0003 * (c_custkey % 777) + 48, 7) AS lat FROM customer")
+@_query("SELECT c_custkey, round((0.0004 * (c_custkey % 1000) + 12)::double, 7) AS lon, round((0.0003 * (c_custkey % 777) + 48)::double, 7) AS lat FROM customer")
 def p9_reproject_32633(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTM zone 33 there and back; the way back gives the same point."""
     points = _table(spark, sf_dir, "customer").select("c_custkey", (F.lit(0.0004) * (F.col("c_custkey") % 1000) + 12).alias("lon"), (F.lit(0.0003) * (F.col("c_custkey") % 777) + 48).alias("lat"))
