@@ -147,8 +147,9 @@ def _rows(docs: DataFrame, digest_hex: int, *more: Column) -> DataFrame:
 
 def _false_hits(docs: DataFrame, digest: Column, norm: Column, index: DataFrame) -> DataFrame:
     """Byte verification: with its bytes as a grouping key, a digest of one text has one row here."""
-    hits = docs.select(digest.alias("digest"), norm.alias("norm")).join(small(index.select("digest")), "digest", "left_semi")
-    texts = hits.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+    digest = F.coalesce(digest, F.lit(""))  # never null, and known to be: else the join's null filter hashes each text again
+    hits = docs.select(digest.alias("digest"), "text").join(small(index.select("digest")), "digest", "left_semi")
+    texts = hits.select("digest", norm.alias("norm")).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
     return materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "dedup-false-hits")
 
 
