@@ -242,28 +242,14 @@ def _search(k: int):
         names, first = np.unique(cells[order], return_index=True)
         # Rounding of a matrix product depends on its shape; what is nearly the best stays until it is scored exactly.
         slack = 1e-9 * np.sqrt(np.square(qs).sum(axis=1)) * np.sqrt(np.square(x).sum(axis=1).max())
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        near = np.full((len(qs), len(x)), -np.inf)
         for cell, some in zip(names.tolist(), np.split(by_cell[order], first[1:]), strict=True):
-            if cell not in bounds:
-                continue
-            a, b = bounds[cell]
-            near = qs[some] @ x[a:b].T
-            near[own[some][:, None] == rows[None, a:b]] = -np.inf
-            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(some), -np.finfo(np.float64).max)
-            i, j = np.nonzero(near >= np.maximum(least - slack[some], -np.finfo(np.float64).max)[:, None])
-            found.append((some[i], j + a, near[i, j]))
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0)
-        q, e, near = (np.concatenate(z) for z in zip(*found, strict=True))
-        order = np.lexsort((-near, q))
-        q, e, near = q[order], e[order], near[order]
-        last = np.full(len(qs), -np.inf)
-        inside = _first_of_each(q, k)
-        np.copyto(last, np.inf)
-        np.minimum.at(last, q[inside], near[inside])
-        keep = near >= last[q] - slack[q]
-        q, e = q[keep], e[keep]
+            if cell in bounds:
+                a, b = bounds[cell]
+                near[some, a:b] = np.maximum(qs[some] @ x[a:b].T, -np.finfo(np.float64).max)
+        near[own[:, None] == rows[None, :]] = -np.inf
+        least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(qs), -np.inf)
+        q, e = np.nonzero((near >= (least - slack)[:, None]) & (near > -np.inf))
         score = _scores(qs[q], x[e])
         order = np.lexsort((rows[e], ids[e], -score, q))
         order = order[_first_of_each(q[order], k)]
@@ -279,7 +265,7 @@ def _search(k: int):
             rows, ids, cells = (entries.column(c).to_numpy() for c in ("row", "vec_id", "cell"))
             names, first = np.unique(cells, return_index=True)
             bounds = {c: (a, b) for c, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(cells)], strict=True)}
-            for part in queries.combine_chunks().to_batches(max_chunksize=1024):
+            for part in queries.combine_chunks().to_batches(max_chunksize=256):
                 query, query_id, q, wanted = columns(part, "query", "query_id", "q", "cells")
                 at, e, score = chosen(x, rows, ids, bounds, _matrix(q), query.to_numpy(), [w.values.to_numpy() for w in wanted])
                 at = pa.array(at)
