@@ -31,15 +31,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import SPACE_BYTES, columns, materialize, mix, tidy
 
 _SPACE, _LINE, _STOP = (np.isin(np.arange(256), list(x)) for x in (SPACE_BYTES, b"\n\x0b\x0c\r", b".!?"))
 #: ``at`` is the first unit and the number of units, all bits turned where the batch has an earlier occurrence.
 _SPANS = "key1 long, key2 long, doc_id long, text_key long, at long"
+_CLEANED = "text string, n_sentences long, n_removed long, removed_bytes long"
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 _NO_ID = (1 << 63) - 1
 _PART = 1 << 19  # bytes of texts that are cut at once
@@ -152,20 +152,25 @@ def _parts(raws: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
             at, held, size = k + 1, [], 0
 
 
-def _text_key(raw: bytes | None) -> int:
-    return -1 if raw is None else xxhash.xxh3_64_intdigest(raw) >> 1
+def _text_key(text: Column) -> Column:
+    """63 bits of a hash of the text's bytes; -1 for null."""
+    return F.when(text.isNull(), F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64(text.cast("binary")), 1))
 
 
-def _raw(text: str | None) -> bytes | None:
-    return None if text is None else text.encode("utf-8", "surrogatepass")
+def _raws(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def _cuts(texts: pa.Array) -> list[int]:
+    """Where slices of about ``_SLICE`` bytes of texts begin, and the number of texts."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return [0, *(np.flatnonzero(np.diff(np.cumsum(size) // _SLICE)) + 1).tolist(), len(size)]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``_SLICE`` bytes of texts, whose spans are held at once."""
-    size = pc.binary_length(columns(batch, "text")[0]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // _SLICE)) + 1).tolist(), len(size)]
-    for a, b in pairwise(cuts):
-        if a < b or not len(size):
+    for a, b in pairwise(_cuts(columns(batch, "text")[0])):
+        if a < b or not batch.num_rows:
             yield batch.slice(a, b - a)
 
 
@@ -178,18 +183,16 @@ def _find(window: int, min_sentences: int, min_words: int):
         """
         tidy()
         for batch in chain.from_iterable(map(_slices, batches)):
-            ids, texts = columns(batch, "doc_id", "text")
-            raws = [_raw(t) for t in texts.to_pylist()]
-            keys = [_text_key(x) for x in raws]
+            ids, texts, keys = columns(batch, "doc_id", "text", "text_key")
             none = np.zeros(0, np.int64)
             parts = [(np.zeros((0, 2), np.uint64), none, none, none)]
-            for at, held in _parts(raws):
+            for at, held in _parts(_raws(texts)):
                 found = spans(_units(held, window), min_sentences, min_words)
                 parts.append((found[0], found[1] + at, *found[2:]))
             hashes, row = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
             start, end = (np.concatenate([x[k] for x in parts]).astype(np.int32) for k in (2, 3))
             del parts
-            text_key = np.array(keys, np.int64)[row]
+            text_key = keys.to_numpy(zero_copy_only=False)[row]
             absent = ids.is_null().to_numpy(zero_copy_only=False)[row]
             doc = ids.fill_null(0).to_numpy(zero_copy_only=False)[row]
             key1, key2 = hashes[:, 0].view(np.int64).copy(), hashes[:, 1].view(np.int64).copy()
@@ -246,45 +249,41 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(x.filter(keep) for x in columns(batch, "doc_id", "text_key")), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "text_key", "a", "b"])
 
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, text) with the key of their text."""
-    for batch in batches:
-        keys = [_text_key(_raw(t)) for t in columns(batch, "text")[0].to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "text_key"])
-
-
 def _cleaned(window: int):
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, text, n_sentences, n_removed, removed_bytes): the text without the units in ``ranges``."""
+    def cleaned(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """The text without the units in ``ranges``, and the numbers; of some megabytes of texts at once."""
         tidy()
-        for batch in batches:
-            rows, texts, ranges = columns(batch, "row", "text", "ranges")
-            out, found = texts.to_pylist(), ranges.to_pylist()
-            raws = [_raw(t) for t in out]
-            counts, removed, lost = [], [0] * len(out), [0] * len(out)
-            for at, held in _parts(raws):
-                u = _units(held, window)
-                counts += [max(int(n), int(len(x) > 0)) for n, x in zip(np.diff(u.bounds), held, strict=True)]
-                for k, raw in enumerate(held, at):
-                    if not found[k]:
-                        continue
-                    start = np.append(u.start[u.bounds[k - at] : u.bounds[k - at + 1]], len(raw))
-                    gone = np.zeros(len(start) + 1, np.int8)
-                    for r in found[k]:
-                        gone[r["a"] + 1 : r["b"] + 1] = 1
-                    edges = np.diff(gone)  # of the removed stretches
-                    a, b = start[np.flatnonzero(edges == 1)], start[np.flatnonzero(edges == -1)]
-                    out[k] = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)])).decode("utf-8", "surrogatepass")
-                    removed[k], lost[k] = int(gone.sum()), int((b - a).sum())
-            numbers = [pa.array(x, pa.int64()) for x in (counts, removed, lost)]
-            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string()), *numbers], ["row", "text", "n_sentences", "n_removed", "removed_bytes"])
-
-    return cleaned
+        for texts, ranges in parts:
+            done = [_without(window, texts[a:b], ranges[a:b]) for a, b in pairwise(_cuts(texts)) if a < b or not len(texts)]
+            yield pa.concat_arrays(done)
+
+    return F.arrow_udf(cleaned, _CLEANED)
+
+
+def _without(window: int, texts: pa.Array, ranges: pa.Array) -> pa.StructArray:
+    out, found = _raws(texts), ranges.to_pylist()
+    counts, removed, lost = [], [0] * len(out), [0] * len(out)
+    for at, held in _parts(out):
+        u = _units(held, window)
+        counts += [max(int(n), int(len(x) > 0)) for n, x in zip(np.diff(u.bounds), held, strict=True)]
+        for k, raw in enumerate(held, at):
+            if not found[k]:
+                continue
+            start = np.append(u.start[u.bounds[k - at] : u.bounds[k - at + 1]], len(raw))
+            gone = np.zeros(len(start) + 1, np.int8)
+            for r in found[k]:
+                gone[r["a"] + 1 : r["b"] + 1] = 1
+            edges = np.diff(gone)  # of the removed stretches
+            a, b = start[np.flatnonzero(edges == 1)], start[np.flatnonzero(edges == -1)]
+            out[k] = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)]))
+            removed[k], lost[k] = int(gone.sum()), int((b - a).sum())
+    numbers = [pa.array(x, pa.int64()) for x in (counts, removed, lost)]
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()).view(pa.string()), *numbers], ["text", "n_sentences", "n_removed", "removed_bytes"])
 
 
 def repeated_ranges(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """(doc_id, text_key, ranges): the sentence ranges of each document that repeat an earlier one."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key"))
     found = own.mapInArrow(_find(window, min_sentences, min_words), _SPANS)
     placed = found.repartition("key1").withColumns({"at_id": F.coalesce("doc_id", F.lit(_NO_ID)), "known": F.col("at") < 0}).sortWithinPartitions("key1", "key2", "known", "at_id", "text_key", "at")
     later = placed.mapInArrow(_later, "doc_id long, text_key long, a int, b int")
@@ -292,27 +291,27 @@ def repeated_ranges(docs: DataFrame, *, min_sentences: int = 2, min_words: int =
 
 
 def _apply(docs: DataFrame, window: int, **options) -> DataFrame:
-    """(row, text, n_sentences, n_removed, removed_bytes); ``row`` is the whole row as it was.
+    """(row, ranges); ``row`` is the whole row as it was, ``ranges`` null where nothing repeats.
 
-    Rows are kept together as one value, so that no column of theirs can clash with one of ours.
+    Rows are kept together as one value, so that no column of theirs can clash with one of ours; they
+    have each text once, and don't pass through Python.
     """
     ranges = materialize(repeated_ranges(docs, window=window, **options), "repeats", batch=4000)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    kind = rows.schema["row"]
-    keyed = rows.mapInArrow(_with_key, T.StructType([*rows.schema.fields, T.StructField("text_key", T.LongType())]))
-    joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["doc_id"]) & (keyed["text_key"] == ranges["text_key"]), "left").select("row", "text", "ranges")
-    numbers = [T.StructField(n, T.LongType()) for n in ("n_sentences", "n_removed", "removed_bytes")]
-    return joined.mapInArrow(_cleaned(window), T.StructType([kind, T.StructField("text", T.StringType()), *numbers]))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs["text"]).alias("text_key"))
+    return keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["doc_id"]) & (keyed["text_key"] == ranges["text_key"]), "left").select("row", "ranges")
 
 
 def span_dedup(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the cleaned text, n_sentences, n_removed, removed_bytes."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = _apply(own, window, min_sentences=min_sentences, min_words=min_words)
-    return found.select("row.doc_id", "text", "n_sentences", "n_removed", "removed_bytes")
+    return found.select("row.doc_id", _cleaned(window)("row.text", "ranges").alias("cleaned")).select("doc_id", "cleaned.*")
 
 
 def remove_repeats(docs: DataFrame, *, min_sentences: int = 2, min_words: int = 20, window: int = 6) -> DataFrame:
     """The rows of ``docs``, all their columns, with repeated sentences removed from ``text``."""
     found = _apply(docs, window, min_sentences=min_sentences, min_words=min_words)
-    return found.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    text = F.col("row")["text"]
+    cleaned = _cleaned(window)(F.when(F.col("ranges").isNotNull(), text), "ranges")  # no other texts go to Python
+    left = F.when(F.col("ranges").isNull(), text).otherwise(cleaned["text"]).alias("text")
+    return found.select(*(left if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -706,3 +706,17 @@ def test_forward_is_the_sum_over_all_paths():
         model.expect(block, lengths, into)
     assert abs(into.emit.sum() - sum(map(len, sequences))) < 1e-9 and abs(into.start.sum() - 5) < 1e-9
     assert abs(into.move.sum() - sum(len(s) - 1 for s in sequences)) < 1e-9
+
+
+def test_remove_repeats_passes_to_python_repeats_only(spark):
+    """Texts without repeats, and other columns, stay in the JVM; others are cut as by ``span_dedup``."""
+    rng = random.Random(12)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + ". " for _ in range(30)]
+    rows = [(k, "".join(rng.sample(pool, 3))) for k in range(40)] + [(50, None), (51, ""), (52, "é 中 once"), (None, pool[0] * 3)]
+    docs = frame(spark, rows).withColumns({"ranges": F.lit("own"), "row": F.col("doc_id") + 1})
+    kept = remove_repeats(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    got = kept.collect()
+    assert kept.columns == docs.columns and {r.ranges for r in got} == {"own"}
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in span_dedup(docs).collect())
