@@ -1,13 +1,18 @@
-"""Coordinate reference systems as column expressions, all of it inside code generation.
+"""Coordinate reference systems as column expressions, without Python on the executors.
 
 Every system converts to and from longitude and latitude on WGS 84. The transverse Mercator
 systems use the Krüger series to the sixth order in the third flattening; the British grid adds
 the published seven-parameter shift between its datum and WGS 84, good to some metres.
+
+A conversion is a list of steps from columns to columns. Most are written out as one expression inside
+code generation. Those of the British grid use what came before so often that this expression would have
+a hundred thousand nodes and more, so there each step's results are held in a struct instead.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -22,6 +27,36 @@ AIRY = (6377563.396, 1 - 6356256.909 / 6377563.396)
 # Shift from WGS 84 to OSGB36: metres, parts per million, arc seconds.
 SHIFT = (-446.448, 125.157, -542.060, 20.4894, -0.1502, -0.2470, -0.8421)
 
+Step = Callable[..., tuple[Column, ...]]
+
+
+def _written_out(point: tuple[Column, Column], steps: list[Step]) -> tuple[Column, Column]:
+    """All steps as one expression, which grows with each use of a value."""
+    values: tuple[Column, ...] = point
+    for step in steps:
+        values = step(*values)
+    return values
+
+
+def _held(point: tuple[Column, Column], steps: list[Step]) -> tuple[Column, Column]:
+    """The same with each step's values computed once: the expression grows with the steps alone."""
+
+    def struct(values: tuple[Column, ...]) -> Column:
+        return F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values)))
+
+    def after(held: Column, step: Step, n: int) -> Column:
+        def body(s: Column) -> Column:
+            values = step(*(s[f"v{k}"] for k in range(n)))
+            sizes.append(len(values))
+            return struct(values)
+
+        return F.transform(held, body)
+
+    held, sizes = F.array(struct(point)), [2]
+    for step in steps:
+        held = after(held, step, sizes[-1])
+    return held[0]["v0"], held[0]["v1"]
+
 
 def normalised(value: Column) -> Column:
     """``EPSG:n`` of a supported system from ``EPSG:n`` in any case, or n; others raise."""
@@ -85,85 +120,120 @@ class TransverseMercator:
         xi = math.atan(math.sinh(math.atanh(s) - self.e * math.atanh(self.e * s)))
         return xi + sum(a * math.sin(2 * j * xi) for j, a in enumerate(self._alpha(), 1))
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        s = F.sin(F.radians(lat))
-        t = F.sinh(F.atanh(s) - F.lit(self.e) * F.atanh(F.lit(self.e) * s))
-        dlon = F.radians(lon - F.lit(self.lon0))
-        xi = F.atan2(t, F.cos(dlon))
-        eta = F.asinh(F.sin(dlon) / F.sqrt(t * t + F.cos(dlon) * F.cos(dlon)))
-        north, east = xi, eta
-        for j, a in enumerate(self._alpha(), 1):
-            north = north + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-            east = east + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    def forward_steps(self) -> list[Step]:
         k = self.scale * self.radius
-        return F.lit(self.false_e) + F.lit(k) * east, F.lit(self.false_n) + F.lit(k) * (north - F.lit(self._origin()))
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        def sine(lon: Column, lat: Column) -> tuple[Column, ...]:
+            return F.sin(F.radians(lat)), F.radians(lon - F.lit(self.lon0))
+
+        def conformal(s: Column, dlon: Column) -> tuple[Column, ...]:
+            return F.sinh(F.atanh(s) - F.lit(self.e) * F.atanh(F.lit(self.e) * s)), dlon
+
+        def sphere(t: Column, dlon: Column) -> tuple[Column, ...]:
+            return F.atan2(t, F.cos(dlon)), F.asinh(F.sin(dlon) / F.sqrt(t * t + F.cos(dlon) * F.cos(dlon)))
+
+        def grid(xi: Column, eta: Column) -> tuple[Column, ...]:
+            north, east = xi, eta
+            for j, a in enumerate(self._alpha(), 1):
+                north = north + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+                east = east + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            return F.lit(self.false_e) + F.lit(k) * east, F.lit(self.false_n) + F.lit(k) * (north - F.lit(self._origin()))
+
+        return [sine, conformal, sphere, grid]
+
+    def inverse_steps(self) -> list[Step]:
         k = self.scale * self.radius
-        north = (y - F.lit(self.false_n)) / F.lit(k) + F.lit(self._origin())
-        east = (x - F.lit(self.false_e)) / F.lit(k)
-        xi, eta = north, east
-        for j, b in enumerate(self._beta(), 1):
-            xi = xi - F.lit(b) * F.sin(2 * j * north) * F.cosh(2 * j * east)
-            eta = eta - F.lit(b) * F.cos(2 * j * north) * F.sinh(2 * j * east)
-        conformal = F.asin(F.sin(xi) / F.cosh(eta))
-        psi, lat = F.atanh(F.sin(conformal)), conformal
-        for _ in range(5):  # the fixed point contracts by e squared each time
-            lat = F.asin(F.tanh(psi + F.lit(self.e) * F.atanh(F.lit(self.e) * F.sin(lat))))
-        lon = F.lit(self.lon0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
-        return lon, F.degrees(lat)
+
+        def scaled(x: Column, y: Column) -> tuple[Column, ...]:
+            return (y - F.lit(self.false_n)) / F.lit(k) + F.lit(self._origin()), (x - F.lit(self.false_e)) / F.lit(k)
+
+        def sphere(north: Column, east: Column) -> tuple[Column, ...]:
+            xi, eta = north, east
+            for j, b in enumerate(self._beta(), 1):
+                xi = xi - F.lit(b) * F.sin(2 * j * north) * F.cosh(2 * j * east)
+                eta = eta - F.lit(b) * F.cos(2 * j * north) * F.sinh(2 * j * east)
+            return xi, eta
+
+        def conformal(xi: Column, eta: Column) -> tuple[Column, ...]:
+            return F.asin(F.sin(xi) / F.cosh(eta)), F.lit(self.lon0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+
+        def degrees(conformal: Column, lon: Column) -> tuple[Column, ...]:
+            psi, lat = F.atanh(F.sin(conformal)), conformal
+            for _ in range(5):  # the fixed point contracts by e squared each time
+                lat = F.asin(F.tanh(psi + F.lit(self.e) * F.atanh(F.lit(self.e) * F.sin(lat))))
+            return lon, F.degrees(lat)
+
+        return [scaled, sphere, conformal, degrees]
 
 
 UTM_33N = TransverseMercator(WGS84, 0.0, 15.0, 0.9996, 500_000.0, 0.0)
 BRITISH = TransverseMercator(AIRY, 49.0, -2.0, 0.9996012717, 400_000.0, -100_000.0)
 
 
-def _shift(lon: Column, lat: Column, source: tuple[float, float], target: tuple[float, float], sign: int) -> tuple[Column, Column]:
+def _shift_steps(source: tuple[float, float], target: tuple[float, float], sign: int) -> list[Step]:
     """From one datum to the other by way of geocentric coordinates."""
-    a, f = source
-    e2 = f * (2 - f)
-    phi, lam = F.radians(lat), F.radians(lon)
-    nu = F.lit(a) / F.sqrt(1 - F.lit(e2) * F.sin(phi) * F.sin(phi))
-    x, y, z = nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), nu * F.lit(1 - e2) * F.sin(phi)
-    tx, ty, tz, ppm, *turns = (sign * v for v in SHIFT)
-    rx, ry, rz = (math.radians(v / 3600) for v in turns)
-    s = 1 + ppm * 1e-6
-    x, y, z = F.lit(tx) + F.lit(s) * x - F.lit(rz) * y + F.lit(ry) * z, F.lit(ty) + F.lit(rz) * x + F.lit(s) * y - F.lit(rx) * z, F.lit(tz) - F.lit(ry) * x + F.lit(rx) * y + F.lit(s) * z
+
+    def normal(lon: Column, lat: Column) -> tuple[Column, ...]:
+        a, f = source
+        phi = F.radians(lat)
+        return F.lit(a) / F.sqrt(1 - F.lit(f * (2 - f)) * F.sin(phi) * F.sin(phi)), phi, F.radians(lon)
+
+    def geocentric(nu: Column, phi: Column, lam: Column) -> tuple[Column, ...]:
+        f = source[1]
+        return nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), nu * F.lit(1 - f * (2 - f)) * F.sin(phi)
+
+    def shifted(x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+        tx, ty, tz, ppm, *turns = (sign * v for v in SHIFT)
+        rx, ry, rz = (math.radians(v / 3600) for v in turns)
+        s = 1 + ppm * 1e-6
+        return F.lit(tx) + F.lit(s) * x - F.lit(rz) * y + F.lit(ry) * z, F.lit(ty) + F.lit(rz) * x + F.lit(s) * y - F.lit(rx) * z, F.lit(tz) - F.lit(ry) * x + F.lit(rx) * y + F.lit(s) * z
+
     a, f = target
     e2, b = f * (2 - f), a * (1 - f)
-    p = F.hypot(x, y)
-    theta = F.atan2(z * F.lit(a), p * F.lit(b))
-    up = z + F.lit(e2 / (1 - e2) * b) * F.pow(F.sin(theta), 3)
-    out = p - F.lit(e2 * a) * F.pow(F.cos(theta), 3)
-    return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(up, out))
 
+    def axis(x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+        return F.hypot(x, y), z, F.degrees(F.atan2(y, x))
+
+    def reduced(p: Column, z: Column, lon: Column) -> tuple[Column, ...]:
+        return F.atan2(z * F.lit(a), p * F.lit(b)), p, z, lon
+
+    def degrees(theta: Column, p: Column, z: Column, lon: Column) -> tuple[Column, ...]:
+        up = z + F.lit(e2 / (1 - e2) * b) * F.pow(F.sin(theta), 3)
+        out = p - F.lit(e2 * a) * F.pow(F.cos(theta), 3)
+        return lon, F.degrees(F.atan2(up, out))
+
+    return [normal, geocentric, shifted, axis, reduced, degrees]
 
-def to_lon_lat(crs: Crs, x: Column, y: Column) -> tuple[Column, Column]:
-    """WGS 84 longitude and latitude of a point in ``crs``."""
+
+def _to_lon_lat(crs: Crs) -> list[Step]:
+    """To WGS 84 longitude and latitude from a point in ``crs``."""
     if crs is Crs.WGS84:
-        return x, y
+        return []
     if crs is Crs.WEB_MERCATOR:
-        return F.degrees(x / F.lit(SPHERE)), F.degrees(F.atan(F.sinh(y / F.lit(SPHERE))))
+        return [lambda x, y: (F.degrees(x / F.lit(SPHERE)), F.degrees(F.atan(F.sinh(y / F.lit(SPHERE)))))]
     if crs is Crs.UTM_33N:
-        return UTM_33N.inverse(x, y)
-    return _shift(*BRITISH.inverse(x, y), AIRY, WGS84, -1)
+        return UTM_33N.inverse_steps()
+    return [*BRITISH.inverse_steps(), *_shift_steps(AIRY, WGS84, -1)]
 
 
-def from_lon_lat(crs: Crs, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """The point in ``crs`` of a WGS 84 longitude and latitude."""
+def _from_lon_lat(crs: Crs) -> list[Step]:
+    """To the point in ``crs`` from a WGS 84 longitude and latitude."""
     if crs is Crs.WGS84:
-        return lon, lat
+        return []
     if crs is Crs.WEB_MERCATOR:
-        return F.lit(SPHERE) * F.radians(lon), F.lit(SPHERE) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))
+        return [lambda lon, lat: (F.lit(SPHERE) * F.radians(lon), F.lit(SPHERE) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)))]
     if crs is Crs.UTM_33N:
-        return UTM_33N.forward(lon, lat)
-    return BRITISH.forward(*_shift(lon, lat, WGS84, AIRY, 1))
+        return UTM_33N.forward_steps()
+    return [*_shift_steps(WGS84, AIRY, 1), *BRITISH.forward_steps()]
 
 
 def reproject(x: Column, y: Column, source: Crs | str | int, target: Crs | str | int) -> tuple[Column, Column]:
     """A point from one system to another; x stays x-like (longitude, easting) throughout."""
     source, target = Crs.of(source), Crs.of(target)
-    return (x, y) if source is target else from_lon_lat(target, *to_lon_lat(source, x, y))
+    if source is target:
+        return x, y
+    convert = _held if Crs.BRITISH_GRID in (source, target) else _written_out
+    return convert((x, y), [*_to_lon_lat(source), *_from_lon_lat(target)])
 
 
 def reproject_bbox(box: BBox, target: Crs) -> BBox:

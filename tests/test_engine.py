@@ -136,6 +136,21 @@ def test_reprojection(spark):
         assert abs(back[0] - lon) < 1e-6 and abs(back[1] - lat) < 1e-6
 
 
+def test_reprojection_is_a_small_expression(spark):
+    """Of all pairs of systems: a plan of the British grid once had megabytes and ended the driver."""
+    points = spark.range(2).select(F.col("id").cast("double").alias("x"), (F.col("id") + 50.0).alias("y"))
+    for source in Crs:
+        for target in Crs:
+            plan = points.select(*reproject(F.col("x"), F.col("y"), source, target))._jdf.queryExecution().analyzed()
+            assert sum(len(plan.expressions().apply(k).sql()) for k in range(plan.expressions().size())) < 300_000, (source, target)
+    lon, lat = 1.717921, 52.657570  # there and back by way of another projected system
+    east, north = reproject(F.lit(lon), F.lit(lat), Crs.WGS84, Crs.BRITISH_GRID)
+    grid = spark.range(1).select(east.alias("x"), north.alias("y"))
+    mercator = grid.select(*(c.alias(n) for c, n in zip(reproject(F.col("x"), F.col("y"), Crs.BRITISH_GRID, Crs.WEB_MERCATOR), "xy", strict=True)))
+    back = mercator.select(*reproject(F.col("x"), F.col("y"), Crs.WEB_MERCATOR, Crs.WGS84)).first()
+    assert abs(back[0] - lon) < 1e-6 and abs(back[1] - lat) < 1e-6
+
+
 def test_tiff_round_trips():
     rng = np.random.default_rng(2)
     for dtype in (np.float32, np.float64, np.uint8, np.int16, np.uint16):
